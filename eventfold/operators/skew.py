@@ -83,6 +83,16 @@ def max_before(value: Column) -> Measure:
     )
 
 
+def max_after(value: Column) -> Measure:
+    """Largest value of all later rows."""
+    return Measure(
+        lambda w: F.max(value).over(_after(w)),
+        F.max(value),
+        lambda t, w: F.max(t).over(_after(w)),
+        lambda a, b: F.greatest(a, b),
+    )
+
+
 def last_known(value: Column, order: list[Column], with_row: bool = True) -> Measure:
     """Last non-null value up to the row (``with_row``) or before it."""
     frame = _through if with_row else _before

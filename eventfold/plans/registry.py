@@ -29,5 +29,8 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from eventfold.plans import (  # noqa: F401
+        q_edges,
         q_items,
+        q_schema,
+        q_talks,
     )
