@@ -101,7 +101,7 @@ def _values(rows: list[tuple], columns: str) -> str:
             return "CAST(NULL AS VARCHAR)"
         if isinstance(x, bool):
             return str(x).upper()
-        return str(x) if isinstance(x, int) else f"'{x}'"
+        return f"CAST({x} AS BIGINT)" if isinstance(x, int) else f"'{x}'"
 
     body = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {body}) t({columns})"

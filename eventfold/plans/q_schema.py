@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from eventfold.operators import edges, gate, registers, schema_log, validate, workflow
 from eventfold.plans import catalog
 from eventfold.plans.adapters import (
-
     edge_log,
     item_changes,
     item_log,
@@ -553,11 +552,11 @@ def illegal_transitions(spark, sf):
 def user_edges(spark, sf):
     """Blocks and requires edges between the items of the event table."""
     users = table(spark, sf, "events").select("user_id").distinct()
-    u = F.col("user_id")
+    u, n = F.col("user_id"), users.agg(F.count(F.lit(1))).scalar()
     edge = lambda kind, to: users.select(
-        F.lit(kind).alias("relation_kind"), tag("E", u).alias("from_uuid"), tag("E", to).alias("to_uuid")
+        F.lit(kind).alias("relation_kind"), tag("E", u).alias("from_uuid"), tag("E", to % n).alias("to_uuid")
     )
-    return edge("blocks", (u * 7 + 3) % 150).unionByName(edge("requires", (u * 11 + 5) % 150))
+    return edge("blocks", u * 7 + 3).unionByName(edge("requires", u * 11 + 5))
 
 
 def breach_sql(rule: str, own: str, other: str, group: str, target: str) -> str:
@@ -574,9 +573,9 @@ def breach_sql(rule: str, own: str, other: str, group: str, target: str) -> str:
     "v21_rule_breaches",
     with_parts(
         ["changes"],
-        breach_sql("blocks", "to_uuid", "from_uuid", "started", "(user_id * 7 + 3) % 150")
+        breach_sql("blocks", "to_uuid", "from_uuid", "started", "(user_id * 7 + 3) % (SELECT count(DISTINCT user_id) FROM events)")
         + " UNION ALL "
-        + breach_sql("requires", "from_uuid", "to_uuid", "completed", "(user_id * 11 + 5) % 150"),
+        + breach_sql("requires", "from_uuid", "to_uuid", "completed", "(user_id * 11 + 5) % (SELECT count(DISTINCT user_id) FROM events)"),
         MOVES,
     ),
 )

@@ -30,6 +30,7 @@ def load() -> None:
     """Import every module that registers queries."""
     from eventfold.plans import (  # noqa: F401
         q_edges,
+        q_hub,
         q_items,
         q_schema,
         q_talks,
