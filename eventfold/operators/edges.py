@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from eventfold.functions.stamps import order_key
 from eventfold.operators.registers import STAMP, lww
-from eventfold.operators.skew import salted_join
 
 
 def relations(log: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def directed(state: DataFrame) -> DataFrame:
 
 def touching(state: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges of each entity. An entity with very many edges is spread by a salt."""
-    return salted_join(directed(state), entities, ["entity_uuid"], "inner")
+    return directed(state).join(entities, ["entity_uuid"], "inner")
 
 
 def of_project(state: DataFrame, project: str, items: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventfold.functions.kinds import event_class
 from eventfold.functions.stamps import order_by
-from eventfold.operators.skew import last_known, max_after, ordered, salted_join
+from eventfold.operators.skew import last_known, max_after, ordered
 
 
 def gate(log: DataFrame, projects: DataFrame) -> DataFrame:
@@ -64,13 +64,8 @@ def outcomes(log: DataFrame, projects: DataFrame, conflicts: DataFrame, arrival:
     ``conflicts`` holds the ids of events that leave their item in conflict.
     """
     first = log.groupBy("event_uuid").agg(F.min(arrival).alias("__first"))
-    rows = salted_join(gate(log, projects), first, ["event_uuid"], "left")
-    flagged = salted_join(
-        rows,
-        conflicts.select("event_uuid").distinct().withColumn("__conflict", F.lit(True)),
-        ["event_uuid"],
-        "left",
-    )
+    rows = gate(log, projects).join(first, ["event_uuid"], "left")
+    flagged = rows.join(conflicts.select("event_uuid").distinct().withColumn("__conflict", F.lit(True)), ["event_uuid"], "left")
     group = event_class(F.col("kind"))
     outcome = (
         F.when(F.col(arrival) > F.col("__first"), F.lit("already_reduced"))

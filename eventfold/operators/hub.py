@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.operators.loops import cut
-from eventfold.operators.skew import max_before, ordered, position, salted_join
+from eventfold.operators.skew import max_before, ordered, position
 
 
 def arrival() -> list[Column]:
@@ -24,7 +24,7 @@ def before_first_bad(rows: DataFrame, bad: Column) -> DataFrame:
     large batch is spread by a salt.
     """
     first = rows.groupBy("batch").agg(F.min(F.when(bad, F.col("line"))).alias("first_bad"))
-    return salted_join(rows, first, ["batch"], "left")
+    return rows.join(first, ["batch"], "left")
 
 
 def admission(
@@ -66,51 +66,36 @@ def admission(
         .otherwise(F.coalesce("__own", F.lit("pass")))
     )
     return (
-        salted_join(rows, whole, ["batch"], "left")
+        rows.join(whole, ["batch"], "left")
         .withColumn("verdict", verdict)
         .drop("__own", "__actor", "__node", "__refused", "__unknown", "__stop")
     )
 
 
-def _copies(rows: DataFrame) -> DataFrame:
-    """Marks rows whose event id came before with ``again``."""
-    first = rows.groupBy("event_uuid").agg(F.min(F.struct("batch", "line")).alias("__first"))
-    return salted_join(rows, first, ["event_uuid"], "left").withColumn(
-        "again", F.struct("batch", "line") > F.col("__first")
-    ).drop("__first")
-
-
 def sequence_checks(rows: DataFrame, rows_per_split: int | None = None) -> DataFrame:
     """Per-line requests: ``duplicate``, ``regression`` or ``durable`` per passed row.
 
-    Per ``(node, stream)`` a sequence must exceed all recorded ones. A refused row is
-    never above the maximum, so the running maximum over all earlier rows is the
-    maximum over the recorded ones. A copy of a refused event is refused again.
+    Per ``(node, stream)`` a sequence must exceed all recorded ones. A refused row and
+    a copy are never above the maximum, so the running maximum over all earlier rows
+    is the maximum over the recorded ones. Of the rest, copies of a durable event are
+    duplicates.
     """
-    marked = _copies(rows)
     seen = ordered(
-        marked.where(~F.col("again")),
+        rows,
         ["node_uuid", "stream_id"],
         arrival(),
         "batch",
         {"last_seq": max_before(F.col("stream_seq"))},
         rows_per_split,
     )
-    fresh = seen.withColumn(
-        "outcome",
-        F.when(F.col("stream_seq") <= F.col("last_seq"), F.lit("regression")).otherwise(
-            F.lit("durable")
-        ),
+    above = F.col("last_seq").isNull() | (F.col("stream_seq") > F.col("last_seq"))
+    durable = seen.where(above)
+    ids = durable.select("event_uuid").withColumn("__durable", F.lit(True))
+    rest = seen.where(~above).join(ids, "event_uuid", "left")
+    outcome = F.when(F.col("__durable"), F.lit("duplicate")).otherwise(F.lit("regression"))
+    return durable.withColumn("outcome", F.lit("durable")).unionByName(
+        rest.withColumn("outcome", outcome).drop("__durable")
     )
-    verdicts = fresh.select("event_uuid", F.col("outcome").alias("__first"))
-    again = salted_join(marked.where("again"), verdicts, ["event_uuid"], "left").select(
-        *marked.columns,
-        F.lit(None).cast("bigint").alias("last_seq"),
-        F.when(F.col("__first") == "durable", F.lit("duplicate"))
-        .otherwise(F.lit("regression"))
-        .alias("outcome"),
-    )
-    return fresh.unionByName(again).drop("again")
 
 
 def sequence_cuts(rows: DataFrame, rows_per_split: int | None = None) -> DataFrame:
@@ -125,13 +110,13 @@ def sequence_cuts(rows: DataFrame, rows_per_split: int | None = None) -> DataFra
     cuts = cut(rows.select("batch").distinct().withColumn("stop", F.lit(None).cast("bigint")))
     stands = F.col("stop").isNull() | (F.col("line") < F.col("stop"))
     while True:
-        placed = salted_join(rows, cuts, ["batch"], "left").withColumn("__stands", stands)
+        placed = rows.join(cuts, ["batch"], "left").withColumn("__stands", stands)
         first = (
             placed.where("__stands")
             .groupBy("event_uuid")
             .agg(F.min(F.struct("batch", "line")).alias("__first"))
         )
-        marked = salted_join(placed, first, ["event_uuid"], "left").withColumn(
+        marked = placed.join(first, ["event_uuid"], "left").withColumn(
             "again", F.coalesce(F.struct("batch", "line") > F.col("__first"), F.lit(False))
         )
         counted = F.when(F.col("__stands") & ~F.col("again"), F.col("stream_seq"))
@@ -169,25 +154,19 @@ def append(stored: DataFrame, incoming: DataFrame, rows_per_split: int | None =
     New ids are numbered in arrival order with per-slice counts, not in one task.
     Returns the incoming rows with ``hub_offset`` and ``duplicate``.
     """
-    marked = _copies(incoming)
-    old = stored.select("event_uuid", F.col("hub_offset").alias("__old"))
-    fresh = marked.where(~F.col("again")).join(old.select("event_uuid"), "event_uuid", "left_anti")
+    first = incoming.groupBy("event_uuid").agg(F.min(F.struct("batch", "line")).alias("came"))
+    known = stored.select("event_uuid", "hub_offset")
+    fresh = first.join(known.select("event_uuid"), "event_uuid", "left_anti").select(
+        "event_uuid", "came", "came.batch", "came.line"
+    )
     top = stored.agg(F.coalesce(F.max("hub_offset"), F.lit(0))).scalar()
-    numbered = ordered(
-        fresh.select("event_uuid", "batch", "line"),
-        [],
-        arrival(),
-        "batch",
-        {"place": position()},
-        rows_per_split,
-    ).select("event_uuid", (F.col("place") + top).alias("__new"))
-    offsets = old.withColumn("__new", F.lit(None).cast("bigint")).unionByName(
-        numbered.withColumn("__old", F.lit(None).cast("bigint"))
+    numbered = ordered(fresh, [], arrival(), "batch", {"place": position()}, rows_per_split)
+    offsets = known.withColumn("came", F.lit(None).cast(fresh.schema["came"].dataType)).unionByName(
+        numbered.select("event_uuid", (F.col("place") + top).alias("hub_offset"), "came")
     )
-    return salted_join(marked, offsets, ["event_uuid"], "inner").select(
-        *incoming.columns,
-        F.coalesce("__old", "__new").alias("hub_offset"),
-        (F.col("again") | F.col("__old").isNotNull()).alias("duplicate"),
+    copy = F.col("came").isNull() | (F.struct("batch", "line") > F.col("came"))
+    return incoming.join(offsets, "event_uuid").select(
+        *incoming.columns, "hub_offset", copy.alias("duplicate")
     )
 
 
@@ -255,7 +234,7 @@ def current_reports(reports: DataFrame) -> DataFrame:
     last = reports.groupBy("workspace_uuid", "reporter").agg(
         F.max(F.struct("reported_us", "report_id")).alias("__last")
     )
-    rows = salted_join(reports, last, ["workspace_uuid", "reporter"], "inner")
+    rows = reports.join(last, ["workspace_uuid", "reporter"], "inner")
     return rows.where(F.struct("reported_us", "report_id") == F.col("__last")).drop("__last")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.operators.skew import salted_join
 from eventfold.session import shared_folder
 
 
@@ -29,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select("id", F.least("id", "m").alias("cluster"))
     )
     while True:
-        seen = salted_join(both, labels.select(F.col("id").alias("b"), "cluster"), ["b"], "inner")
+        seen = both.join(labels.select(F.col("id").alias("b"), "cluster"), ["b"], "inner")
         near = seen.groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
         lower = cut(
             labels.join(near, "id").select("id", F.least("cluster", "near").alias("label"), "cluster")
@@ -37,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Follow the label: a cluster id is an id itself.
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("further"))
         step = cut(
-            salted_join(lower, jump, ["label"], "left").select(
+            lower.join(jump, ["label"], "left").select(
                 "id",
                 F.least("label", "further").alias("label"),
                 "cluster",

@@ -1,4 +1,4 @@
-"""Ordered windows and joins that stay balanced when one key is hot.
+"""Ordered windows and lists that stay balanced when one key is hot.
 
 A plain window puts a whole group into one task. Here groups above
 ``rows_per_split`` rows are cut along their order into slices, each slice is
@@ -6,6 +6,10 @@ windowed by itself, and what earlier (or later) slices contribute is one small
 row per slice, computed with partial aggregation. Groups below the limit are one
 slice, so ordinary keys cost one window and nothing else: the carry side is then
 empty and adaptive execution removes it from the plan.
+
+Joins need no such help: every join here has one row per key on one side, or sides
+reduced beforehand, so a hot key fills only one side and adaptive execution splits
+it (``SETTINGS`` in the session module forces that).
 """
 
 from __future__ import annotations
@@ -194,40 +198,6 @@ def _sliced(df: DataFrame, keys: list[str], pos: str, rows_per_split: int) -> Da
     ).drop(_LO, _HI)
 
 
-def salted_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    rows_per_split: int | None = None,
-) -> DataFrame:
-    """Join many rows to a lookup with one row per key, hot keys spread by a salt.
-
-    Rows of a hot key get a salt by content hash, and its single lookup row is
-    repeated once per salt. Other keys have salt 0 and are not repeated.
-    """
-    rows_per_split = split_size(facts, rows_per_split)
-    hot = (
-        facts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > rows_per_split)
-        .select(*keys, F.ceil(F.col("__n") / rows_per_split).cast("int").alias(_PARTS))
-    )
-    # Size bound as above: one row per group over the limit.
-    rest = [c for c in facts.columns if facts.schema[c].dataType.typeName() != "map"]
-    left = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt",
-        F.when(F.col(_PARTS).isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*rest), F.col(_PARTS)).cast("int")
-        ),
-    ).drop(_PARTS)
-    right = lookup.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)),
-    ).drop(_PARTS)
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
-
-
 def list_parts(
     df: DataFrame,
     keys: list[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.operators.skew import last_known, ordered, previous_row, salted_join
+from eventfold.operators.skew import last_known, ordered, previous_row
 
 
 def issue(rows: DataFrame, file: str, path: Column, code: str) -> DataFrame:
@@ -37,7 +37,7 @@ def label_issues(labels: DataFrame) -> DataFrame:
     """Empty names, and every later use of a name in the same project."""
     path = F.concat(F.lit("labels["), F.col("idx").cast("string"), F.lit("].name"))
     first = labels.groupBy("project_uuid", "name").agg(F.min("idx").alias("first"))
-    again = salted_join(labels, first, ["project_uuid", "name"], "inner").where("idx > first")
+    again = labels.join(first, ["project_uuid", "name"], "inner").where("idx > first")
     return issue(labels.where("name = ''"), "labels", path, "missing_field").unionByName(
         issue(again, "labels", path, "duplicate")
     )
@@ -168,13 +168,8 @@ def kind_breaches(relations: DataFrame, kinds: DataFrame, allowed: DataFrame) ->
     side = lambda end, name: kinds.select(
         F.col("entity_uuid").alias(end), F.col("entity_kind").alias(name)
     )
-    rows = salted_join(
-        relations.select("relation_uuid", "relation_kind", "from_uuid", "to_uuid"),
-        side("from_uuid", "from_kind"),
-        ["from_uuid"],
-        "inner",
-    )
-    rows = salted_join(rows, side("to_uuid", "to_kind"), ["to_uuid"], "inner")
+    rows = relations.select("relation_uuid", "relation_kind", "from_uuid", "to_uuid").join(side("from_uuid", "from_kind"), ["from_uuid"], "inner")
+    rows = rows.join(side("to_uuid", "to_kind"), ["to_uuid"], "inner")
     return rows.join(allowed, ["relation_kind", "from_kind", "to_kind"], "left_anti").select(
         "relation_uuid", "relation_kind", "from_kind", "to_kind"
     )

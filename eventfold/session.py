@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join partition even where that costs one more shuffle later.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
