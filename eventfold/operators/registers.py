@@ -156,25 +156,30 @@ def headers(log: DataFrame) -> DataFrame:
     )
 
 
+def item_fields(log: DataFrame, fields: list[str]) -> DataFrame:
+    """Header of every item with one text column per named field."""
+    text = F.coalesce(json_text(F.col("value")), F.col("value"))
+    wide = (
+        live_fields(field_state(log))
+        .groupBy("entity_uuid")
+        .agg(
+            *[F.max(F.when(F.col("field") == f, text)).alias(f) for f in fields],
+            F.count(F.lit(1)).alias("field_count"),
+        )
+    )
+    return headers(log).join(wide, "entity_uuid", "left")
+
+
 def item_view(log: DataFrame, members: DataFrame, fields: list[str], max_items: int = 10_000) -> DataFrame:
     """The item read model: header, one column per named field, member lists.
 
     Lists are bounded rows (see ``list_parts``): an item with more members than
     ``max_items`` continues in further parts, the header repeated.
     """
-    state = live_fields(field_state(log))
-    text = F.coalesce(json_text(F.col("value")), F.col("value"))
-    wide = state.groupBy("entity_uuid").agg(
-        *[F.max(F.when(F.col("field") == f, text)).alias(f) for f in fields],
-        F.count(F.lit(1)).alias("field_count"),
-        F.max_by("event_uuid", order_key()).alias("last_field_event"),
-    )
-    lists = list_parts(
-        members, ["entity_uuid"], F.concat_ws("=", "set_name", "member"), "members", max_items
-    )
+    named = F.concat_ws("=", "set_name", "member")
+    lists = list_parts(members, ["entity_uuid"], named, "members", max_items)
     return (
-        headers(log)
-        .join(wide, "entity_uuid", "left")
+        item_fields(log, fields)
         .join(lists, "entity_uuid", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("parts", F.coalesce("parts", F.lit(1)))

@@ -31,7 +31,9 @@ def load() -> None:
     from eventfold.plans import (  # noqa: F401
         q_edges,
         q_hub,
+        q_index,
         q_items,
         q_schema,
+        q_sources,
         q_talks,
     )
