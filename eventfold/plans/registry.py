@@ -35,5 +35,6 @@ def load() -> None:
         q_items,
         q_schema,
         q_sources,
+        q_streams,
         q_talks,
     )
