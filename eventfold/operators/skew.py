@@ -39,6 +39,7 @@ class Measure:
     total: Column  # one value per slice
     across: object  # (total column, window over slices) -> Column
     join: object  # (local, carry) -> Column
+    backward: bool = False  # looks at later rows: windows are in reverse order
 
 
 def split_size(df: DataFrame, given: int | None) -> int:
@@ -53,10 +54,6 @@ def _through(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _after(w):
-    return w.rowsBetween(1, Window.unboundedFollowing)
-
-
 def position() -> Measure:
     """1-based position of a row in its group."""
     return Measure(
@@ -90,10 +87,11 @@ def max_before(value: Column) -> Measure:
 def max_after(value: Column) -> Measure:
     """Largest value of all later rows."""
     return Measure(
-        lambda w: F.max(value).over(_after(w)),
+        lambda w: F.max(value).over(_before(w)),
         F.max(value),
-        lambda t, w: F.max(t).over(_after(w)),
+        lambda t, w: F.max(t).over(_before(w)),
         lambda a, b: F.greatest(a, b),
+        backward=True,
     )
 
 
@@ -109,17 +107,6 @@ def last_known(value: Column, order: list[Column], with_row: bool = True) -> Mea
     )
 
 
-def next_known(value: Column, order: list[Column]) -> Measure:
-    """First non-null value after the row."""
-    stamp = F.struct(*order)
-    return Measure(
-        lambda w: F.first(value, ignorenulls=True).over(_after(w)),
-        F.min_by(value, F.when(value.isNotNull(), stamp)),
-        lambda t, w: F.first(t, ignorenulls=True).over(_after(w)),
-        lambda a, b: F.coalesce(a, b),
-    )
-
-
 def previous_row(value: Column, order: list[Column]) -> Measure:
     """The row before; pass a struct so that 'no row' differs from NULL fields."""
     return Measure(
@@ -159,9 +146,16 @@ def ordered(
         )
         return out.drop("__all")
     sliced = _sliced(df, keys, pos, split_size(df, rows_per_split))
-    window = Window.partitionBy(*keys, _SLICE).orderBy(*order)
+    # A frame of all following rows is evaluated anew for each row; the reverse order
+    # turns it into a running frame.
+    forward = Window.partitionBy(*keys, _SLICE).orderBy(*order)
+    backward = Window.partitionBy(*keys, _SLICE).orderBy(*[c.desc() for c in order])
     local = sliced.select(
-        *sliced.columns, *[m.local(window).alias(name) for name, m in measures.items()]
+        *sliced.columns,
+        *[
+            m.local(backward if m.backward else forward).alias(name)
+            for name, m in measures.items()
+        ],
     )
     totals = (
         sliced.where(F.col(_PARTS).isNotNull())
@@ -169,10 +163,14 @@ def ordered(
         .agg(*[m.total.alias(f"__t_{name}") for name, m in measures.items()])
     )
     slices = Window.partitionBy(*keys).orderBy(_SLICE)
+    later = Window.partitionBy(*keys).orderBy(F.col(_SLICE).desc())
     carry = totals.select(
         *keys,
         _SLICE,
-        *[m.across(F.col(f"__t_{n}"), slices).alias(f"__c_{n}") for n, m in measures.items()],
+        *[
+            m.across(F.col(f"__t_{n}"), later if m.backward else slices).alias(f"__c_{n}")
+            for n, m in measures.items()
+        ],
     )
     return local.join(carry, [*keys, _SLICE], "left").select(
         *df.columns,

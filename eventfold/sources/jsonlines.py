@@ -55,18 +55,24 @@ def decode_lines(lines: DataFrame, column: str = "line_text") -> DataFrame:
     line = F.trim(F.col(column))
     inside = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<struct<{_typed(ENVELOPE)}>>")
     whole = F.try_parse_json(F.concat(F.lit('{"r":'), line, F.lit("}"))).isNotNull()
+    # A generator keeps filters on the status above the parse: one parse per line.
+    parsed = lines.select(
+        *lines.columns,
+        (F.length(line) == 0).alias("__blank"),
+        F.inline(F.array(F.struct(inside.alias("__list"), whole.alias("__whole")))),
+    )
     event = F.get(F.col("__list"), F.lit(0))
     complete = F.lit(True)
     for name in REQUIRED:
         complete = complete & event[name].isNotNull()
     version = event["schema_version"].rlike(r"^\d+$")
     status = (
-        F.when(F.length(line) == 0, F.lit("blank"))
-        .when(F.coalesce(~whole | (F.size("__list") != 1) | ~complete | ~version, F.lit(True)), F.lit("malformed"))
+        F.when(F.col("__blank"), F.lit("blank"))
+        .when(F.coalesce(~F.col("__whole") | (F.size("__list") != 1) | ~complete | ~version, F.lit(True)), F.lit("malformed"))
         .when(~event["kind"].isin(*ALL_KINDS), F.lit("unknown_kind"))
         .otherwise(F.lit("good"))
     )
-    return lines.withColumn("__list", inside).select(*lines.columns, event.alias("e"), status.alias("status"))
+    return parsed.select(*lines.columns, event.alias("e"), status.alias("status"))
 
 
 def _typed(ddl: str) -> str:
@@ -108,7 +114,7 @@ def stream_ok(text: Column) -> Column:
 
 def decode_payloads(log: DataFrame) -> DataFrame:
     """Payload text decoded by one union schema into the columns of the operators."""
-    p = F.from_json("payload", ", ".join(PAYLOAD.split(", ")))
+    p = F.from_json("payload", PAYLOAD)
     return log.withColumn("p", p).select(
         *[c for c in log.columns if c != "payload"],
         F.col("p.entity_uuid").alias("entity_uuid"),
