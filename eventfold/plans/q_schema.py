@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventfold.operators import edges, gate, registers, schema_log, validate, workflow
+from eventfold.operators.loops import cut
 from eventfold.plans import catalog
 from eventfold.plans.adapters import (
     edge_log,
@@ -230,11 +231,13 @@ def quarantine_drain(spark, sf):
     return gate.drain(shipped_work(spark, sf), schema_log.versions(schema_changes(spark, sf)))
 
 
-def checked_state(spark, sf):
+def checked_state(spark, sf, keep=False):
+    """Items and their live fields; ``keep`` writes both once, for jobs that read
+    them many times."""
     log = item_log(spark, sf)
     items = registers.headers(log).select("entity_uuid", "project_uuid", "entity_kind", "item_type", "updated_by")
     fields = registers.live_fields(registers.field_state(log)).select("entity_uuid", "field", "value", "value_type")
-    return items, fields
+    return (cut(items), cut(fields)) if keep else (items, fields)
 
 
 CHECK = {
@@ -342,7 +345,7 @@ def dangling_relations(spark, sf):
 )
 def conflict_log(spark, sf):
     """Unresolved conflict rows: one per item with all of its findings."""
-    items, fields = checked_state(spark, sf)
+    items, fields = checked_state(spark, sf, keep=True)
     found = validate.item_conflicts(
         items, fields, catalog.projects(spark), catalog.schema_fields(spark), catalog.enums(spark)
     )
@@ -369,7 +372,7 @@ REVALIDATE["projects"] = CHECK["projects"] + " WHERE project_uuid IN ('P0', 'P1'
 def revalidation(spark, sf):
     """All items of the projects whose schema moved, under the new schema (one enum
     member removed), findings attributed to the schema event."""
-    items, fields = checked_state(spark, sf)
+    items, fields = checked_state(spark, sf, keep=True)
     moved = catalog.projects(spark).where(F.col("project_uuid").isin("P0", "P1"))
     enums = catalog.enums(spark).where("enum_value <> 'high'")
     found = validate.item_conflicts(items, fields, moved, catalog.schema_fields(spark), enums)
