@@ -89,12 +89,14 @@ def sequence_checks(rows: DataFrame, rows_per_split: int | None = None) -> DataF
         rows_per_split,
     )
     above = F.col("last_seq").isNull() | (F.col("stream_seq") > F.col("last_seq"))
-    durable = seen.where(above)
-    ids = durable.select("event_uuid").withColumn("__durable", F.lit(True))
-    rest = seen.where(~above).join(ids, "event_uuid", "left")
-    outcome = F.when(F.col("__durable"), F.lit("duplicate")).otherwise(F.lit("regression"))
-    return durable.withColumn("outcome", F.lit("durable")).unionByName(
-        rest.withColumn("outcome", outcome).drop("__durable")
+    ids = seen.where(above).select("event_uuid").withColumn("__durable", F.lit(True))
+    outcome = (
+        F.when(above, F.lit("durable"))
+        .when(F.col("__durable"), F.lit("duplicate"))
+        .otherwise(F.lit("regression"))
+    )
+    return (
+        seen.join(ids, "event_uuid", "left").withColumn("outcome", outcome).drop("__durable")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.functions.stamps import order_by, order_key
-from eventfold.operators.skew import following_row, last_known, ordered, position
+from eventfold.operators.skew import following_row, last_known, ordered, running_sum
 
 CLAIM, PROGRESS, RELEASE = "execution.claim", "execution.progress", "execution.release"
 
@@ -26,26 +26,22 @@ def progress_log(log: DataFrame, rows_per_split: int | None = None) -> DataFrame
     turn = F.when(
         F.col("kind").isin(CLAIM, RELEASE), F.struct("executor", "expires_us")
     )
-    rows = ordered(
+    is_note = F.col("kind") == PROGRESS
+    ok = (
+        is_note
+        & (F.col("holder.executor") == F.col("actor"))
+        & (F.col("hlc_us") < F.col("holder.expires_us"))
+    )
+    accepted = F.coalesce(ok, F.lit(False))
+    numbered = ordered(
         log,
         ["entity_uuid"],
         order_by(),
         "hlc_us",
         {"holder": last_known(turn, order_by())},
         rows_per_split,
-    ).where(F.col("kind") == PROGRESS)
-    ok = (F.col("holder.executor") == F.col("actor")) & (
-        F.col("hlc_us") < F.col("holder.expires_us")
-    )
-    checked = rows.withColumn("accepted", F.coalesce(ok, F.lit(False)))
-    numbered = ordered(
-        checked,
-        ["entity_uuid", "accepted"],
-        order_by(),
-        "hlc_us",
-        {"place": position()},
-        rows_per_split,
-    )
+        then={"place": running_sum(accepted.cast("bigint"))},
+    ).where(is_note).withColumn("accepted", accepted)
     return numbered.select(
         "event_uuid",
         "entity_uuid",

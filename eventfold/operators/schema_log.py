@@ -26,23 +26,16 @@ def versions(
     """
     kind = F.col("kind")
     rows = log.where(kind.isin(INIT, SNAPSHOT, *bump_kinds))
-    counted = ordered(
-        rows,
-        ["project_uuid"],
-        order_by(),
-        "hlc_us",
-        {"bumps": running_sum(kind.isin(*bump_kinds).cast("bigint"))},
-        rows_per_split,
-    )
     base = F.when(kind == INIT, F.lit(1)).when(kind == SNAPSHOT, F.col("given_version"))
     start = F.when(kind.isin(INIT, SNAPSHOT), F.struct(base.alias("base"), "bumps"))
     placed = ordered(
-        counted,
+        rows,
         ["project_uuid"],
         order_by(),
         "hlc_us",
-        {"start": last_known(start, order_by())},
+        {"bumps": running_sum(kind.isin(*bump_kinds).cast("bigint"))},
         rows_per_split,
+        then={"start": last_known(start, order_by())},
     )
     return placed.withColumn(
         "version", F.col("start.base") + F.col("bumps") - F.col("start.bumps")

@@ -134,18 +134,28 @@ def ordered(
     pos: str,
     measures: dict[str, Measure],
     rows_per_split: int | None = None,
+    then: dict[str, Measure] | None = None,
 ) -> DataFrame:
     """Add ordered measures per group of ``keys``.
 
     ``order`` must start with the column ``pos`` (a non-null long) and be total.
     ``keys`` may be empty (one group for the whole table); key values are non-null.
+    ``then`` are measures over the first ones, on the same slices and shuffle.
     """
     if not keys:
         out = ordered(
-            df.withColumn("__all", F.lit(0)), ["__all"], order, pos, measures, rows_per_split
+            df.withColumn("__all", F.lit(0)), ["__all"], order, pos, measures, rows_per_split, then
         )
         return out.drop("__all")
-    sliced = _sliced(df, keys, pos, split_size(df, rows_per_split))
+    out = _measured(_sliced(df, keys, pos, split_size(df, rows_per_split)), keys, order, measures)
+    if then:
+        out = _measured(out, keys, order, then)
+    return out.drop(_SLICE, _PARTS)
+
+
+def _measured(
+    sliced: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Measure]
+) -> DataFrame:
     # A frame of all following rows is evaluated anew for each row; the reverse order
     # turns it into a running frame.
     forward = Window.partitionBy(*keys, _SLICE).orderBy(*order)
@@ -173,7 +183,7 @@ def ordered(
         ],
     )
     return local.join(carry, [*keys, _SLICE], "left").select(
-        *df.columns,
+        *sliced.columns,
         *[m.join(F.col(n), F.col(f"__c_{n}")).alias(n) for n, m in measures.items()],
     )
 

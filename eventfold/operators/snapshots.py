@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.operators import registers, sets
+from eventfold.operators.loops import cut
 
 DAY_US = 24 * 3600 * 1_000_000
 
@@ -127,6 +128,7 @@ def compaction_decisions(
     Refused above the watermark, or without a snapshot that reaches it. All bounds
     are counted in one pass over the log.
     """
+    mark = cut(mark)  # one row; the optimizer cannot merge it with the scan below
     asked = [
         F.struct(
             F.lit(name).alias("request"),

@@ -47,8 +47,8 @@ def with_k(events: DataFrame) -> DataFrame:
     )
 
 
-def item_changes(events: DataFrame) -> DataFrame:
-    """Work item changes, one per event row."""
+def item_changes(events: DataFrame, exact: bool = False) -> DataFrame:
+    """Work item changes, one per event row; ``exact`` adds the instant as ``at_us``."""
     i, u, k, t = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
     node = tag("N", i % 3)
     member = F.when(k % 3 != 0, tag("l", k % 6)).otherwise(
@@ -119,6 +119,7 @@ def item_changes(events: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("entity_kind"),
         F.lit(None).cast("string").alias("item_type"),
         F.lit(None).cast("map<string,string>").alias("fields"),
+        *([F.col("us").alias("at_us")] if exact else []),
     )
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from eventfold.operators import hub, sets, snapshots
+from eventfold.operators.loops import cut
 from eventfold.plans.adapters import item_changes, padded, table, tag, with_k, with_parts
 from eventfold.plans.q_items import MEMBERS, SET_STATE
 from eventfold.plans.registry import query
@@ -46,7 +47,7 @@ def registry_tables(spark, sf):
     """Registered nodes and allowed actors, as the log itself names them."""
     log = stored_log(spark, sf)
     nodes = log.select(F.col("workspace_uuid").alias("workspace"), "node_uuid").distinct()
-    return nodes, log.select("actor").distinct()
+    return cut(nodes), cut(log.select("actor").distinct())
 
 
 PUSHES = {
@@ -500,9 +501,10 @@ def mark_sql(reports: str) -> str:
 def watermark(spark, sf):
     """Compaction watermark for complete cursor sets and for ones with gaps."""
     stored = stored_log(spark, sf)
+    # Reports are small stored tables on a hub; here they are derived, so written once.
     one = lambda name, r: snapshots.watermark(stored, r).select(F.lit(name).alias("variant"), "watermark")
-    return one("complete", full_reports(spark, sf)).unionByName(
-        one("gaps", hub.current_reports(reports(spark, sf)))
+    return one("complete", cut(full_reports(spark, sf))).unionByName(
+        one("gaps", cut(hub.current_reports(reports(spark, sf))))
     )
 
 
@@ -525,8 +527,8 @@ def compaction(spark, sf):
     return snapshots.compaction_decisions(
         stored,
         {"tenth": F.floor(top / 10), "half": F.floor(top * 5 / 10), "most": F.floor(top * 9 / 10)},
-        snapshots.watermark(stored, full_reports(spark, sf)),
-        snapshot_catalog(spark, sf),
+        snapshots.watermark(stored, cut(full_reports(spark, sf))),
+        cut(snapshots.latest(snapshot_catalog(spark, sf))),
     )
 
 

@@ -16,8 +16,6 @@ from eventfold.plans.adapters import (
     schema_changes,
     table,
     tag,
-    text,
-    with_k,
     with_parts,
 )
 from eventfold.plans.q_edges import LIVE
@@ -518,12 +516,8 @@ def catalog_issues(spark, sf):
 
 def dated_changes(spark, sf):
     """State changes at their exact instant."""
-    i, k = F.col("event_id"), F.col("k")
-    log = item_changes(table(spark, sf, "events")).where(F.col("kind") == "item.set-state")
-    exact = with_k(table(spark, sf, "events")).where(
-        (F.col("event_type") == "signup") & (k % 5).isin(1, 2)
-    ).select(F.lpad(text(i), 26, "0").alias("event_uuid"), F.col("us").alias("at_us"))
-    return log.select("event_uuid", "entity_uuid", "project_uuid", "state_key").join(exact, "event_uuid")
+    log = item_changes(table(spark, sf, "events"), exact=True).where(F.col("kind") == "item.set-state")
+    return log.select("event_uuid", "entity_uuid", "project_uuid", "state_key", "at_us")
 
 
 MOVES = {
