@@ -38,7 +38,6 @@ HEADLINE = [
     "h1_append_offsets",
     "h3_sequence_checks",
     "h7_pull_page",
-    "k3_bootstrap",
     "k5_watermark",
     "q2_ready_work",
     "q6_effort_progress",

@@ -23,7 +23,8 @@ ACCEPTED = {
     "entity_ref": "entity_ref",
 }
 LONG_MAX, LONG_MIN = 9223372036854775807, -9223372036854775808
-# Shapes of actors and entity references.
+# Shapes of actors and JSON numbers, scheme of entity references.
+URN_SCHEME = "track"
 ACTOR = r"(?s)^(user|agent):.+$"
 NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 
@@ -44,7 +45,7 @@ def is_entity_ref(text: Column) -> Column:
     part = F.split(text, ":")
     return (
         (F.size(part) == 3)
-        & (F.get(part, F.lit(0)) == "track")
+        & (F.get(part, F.lit(0)) == URN_SCHEME)
         & (F.length(F.get(part, F.lit(1))) > 0)
         & F.upper(F.get(part, F.lit(2))).rlike(ULID)
     )
