@@ -160,9 +160,8 @@ class Matcher:
                 stem += 1
             else:
                 exact += 1
-        plain = exact + near + stem
-        density = 100 * plain / max(20, len(words))
-        return [math.log1p(exact), math.log1p(near), math.log1p(stem), math.log1p(quoted), math.log1p(density), math.log1p(weight), worst]
+        density = 100 * (exact + stem) / max(20, len(words))
+        return [math.log1p(exact), math.log1p(near), math.log1p(stem), math.log1p(quoted), math.log1p(density), min(weight, 40.0) / 5, worst]
 
     @staticmethod
     def _quoted(words: list[bytes], i: int) -> bool:
@@ -195,30 +194,34 @@ def term_counts(sample: DataFrame) -> DataFrame:
 def lexicon(sample: DataFrame, toxic: int, clean: int, max_terms: int = MAX_TERMS) -> list[tuple[str, float]]:
     """The ``max_terms`` terms that tell most about the label, with their log-odds.
 
-    Terms stand in two toxic texts at least and are twenty times as frequent there; they
-    rank by the log-likelihood ratio of their counts.
+    Terms are twenty times as frequent in toxic texts and rank by the log-likelihood ratio
+    of their counts, which must be above the logarithm of the number of terms: by chance
+    alone one of all terms would get there.
     """
     a, b = F.col("toxic"), F.col("clean")
     odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
     share = (a + b) / (toxic + clean + 0.0)
-    gain = a * F.log(a / (share * toxic)) + F.when(b > 0, b * F.log(b / (share * clean))).otherwise(0.0)
+    gain = F.when(a > 0, a * F.log(a / (share * toxic))).otherwise(0.0) + F.when(b > 0, b * F.log(b / (share * clean))).otherwise(0.0)
+    counted = cut(term_counts(sample).where(a + b >= 2))
+    least = math.log(counted.count() + 1)
     found = (
-        term_counts(sample).where((a >= 2) & (odds > math.log(20.0)))
-        .select("term", odds.alias("odds"), gain.alias("gain"))
+        counted.where(odds > math.log(20.0)).select("term", odds.alias("odds"), gain.alias("gain"))
+        .where(F.col("gain") > least)
         .orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(max_terms)
     )
     return [(r["term"], r["odds"]) for r in found.collect()]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias; each class has half the say. Non-negative, as hits only add."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 3000, rate: float = 0.2, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias; a toxic text has the say of two. Non-negative, as hits only add."""
     w, bias = np.zeros(x.shape[1]), -1.0
-    say = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    say = np.where(y == 1, 2.0, 1.0)
+    say /= say.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x @ w + bias)))
         d = (p - y) * say
         w = np.maximum(0.0, w - rate * 4 * (x.T @ d + ridge * w))
-        bias -= rate * 4 * d.sum()
+        bias -= rate * 4 * float(d.sum())
     return w, float(bias)
 
 
