@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` finds the same.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch, and words that a worker remembers; both bound its memory.
+BATCH_ROWS, CACHE_WORDS = 1_000, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and text only, whatever other columns there are; a null text is empty."""
+    """Id and text only, whatever other columns there are; a null text is empty.
+
+    Batches for Python hold ``BATCH_ROWS`` rows, so that long texts fit into a worker.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -29,7 +35,7 @@ def word_count(text: str | Column) -> Column:
 class WordCache(dict):
     """Results by word, worked out once; emptied when full, so memory stays bounded."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = CACHE_WORDS):
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -11,7 +11,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -20,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm.common import WordCache, running, texts
+from eventfold.llm.wordpiece import byte_letters
 from eventfold.operators.loops import cut
 
 LIMIT = 2048
+#: The first sign beyond the Latin letters that are composed in themselves.
+LATIN_END = "\u0250"
 SEGMENTS = "length long, first long, n long, seq long, per long, offset long"
 
 _tokenizers: dict[str, WordCache] = {}
@@ -38,29 +43,29 @@ def word_ids(path: str) -> WordCache:
     """Ids, packed as little-endian 32-bit numbers, of words without ASCII white space.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those
-    of its words in turn. Plain ASCII words go to the merges at once; others, and words
-    that could hold a special token, through the whole tokenizer.
+    of its words in turn. Words of Latin letters, a stop or comma behind them or not, go
+    to the merges at once: letters and marks are split before the merges, and such letters
+    are composed already. All other words go through the whole tokenizer.
     """
     if path not in _tokenizers:
-        import regex
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed as little-endian 32-bit numbers")
         tokenizer = Tokenizer.from_file(path)
         merges = tokenizer.model.tokenize
-        parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-
-        def of_part(part: str) -> bytes:
-            return pack([t.id for t in merges(part)])
-
-        known = WordCache(of_part, 200_000)
+        letters = {byte: letter for letter, byte in byte_letters().items()}
 
         def of_word(word: bytes) -> bytes:
-            if word.isascii() and b"<|" not in word and word.decode().isprintable():
-                return b"".join([known[p] for p in parts(word.decode().lower())])
-            return pack(tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-
-        _tokenizers[path] = WordCache(of_word, 500_000)
+            text = word.decode()
+            if text[-1] in ".," and text[:-1].isalpha():
+                return ids[word[:-1]] + ids[word[-1:]]
+            low = text.lower()
+            if text.isalpha() and max(text) < LATIN_END and low.isalpha():
+                return array("I", [t.id for t in merges(low.encode().decode("latin-1").translate(letters))]).tobytes()
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        ids = _tokenizers[path] = WordCache(of_word, 500_000)
     return _tokenizers[path]
 
 
@@ -80,7 +85,9 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0) -> D
         for b in batches:
             take, out = [], ([], [], [], [])
             for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                ids = b"".join([ids_of[w] for w in text.split()]) + end
+                # Case doesn't matter to the ids, unless a special token could stand there.
+                words = (text if b"<|" in text else text.lower()).split()
+                ids = b"".join([ids_of[w] for w in words]) + end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     take.append(i)

@@ -51,7 +51,7 @@ def _word_hashes() -> WordCache:
     if _hash is None:
         import xxhash
 
-        _hash = WordCache(lambda w: xxhash.xxh64_intdigest(w, 5), 500_000)
+        _hash = WordCache(lambda w: xxhash.xxh64_intdigest(w, 5))
     return _hash
 
 

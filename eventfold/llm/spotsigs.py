@@ -49,7 +49,7 @@ def _word_code(word: bytes) -> int:
 def _codes() -> WordCache:
     global _code
     if _code is None:
-        _code = WordCache(_word_code, 500_000)
+        _code = WordCache(_word_code)
     return _code
 
 

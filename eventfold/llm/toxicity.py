@@ -141,7 +141,7 @@ class Matcher:
             plain = word.decode().lower().strip(STRIP)
             return automaton.match(plain) if plain else None
 
-        self.hit = WordCache(of, 500_000)
+        self.hit = WordCache(of)
 
     def features(self, text: bytes) -> list[float]:
         words = text.split()
@@ -281,5 +281,6 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             x = np.array([matcher.features((t or "").encode()) for t in text]).reshape(-1, len(FEATURES))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w + model.bias, -40, 40))))
 
+    texts(docs)  # sets the size of batches
     udf = F.pandas_udf(scores, "double")
     return docs.where(udf(F.coalesce("text", F.lit(""))) < threshold)

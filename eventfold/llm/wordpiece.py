@@ -91,7 +91,7 @@ class LongestMatch:
 def counter(path: str) -> WordCache:
     if path not in _automata:
         automaton = LongestMatch(read_vocabulary(path))
-        _automata[path] = WordCache(lambda word: automaton.count(b" " + word), 500_000)
+        _automata[path] = WordCache(lambda word: automaton.count(b" " + word))
     return _automata[path]
 
 
