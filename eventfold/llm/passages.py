@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from eventfold.llm.common import WordCache, texts
 from eventfold.operators.loops import components, cut
 
-REACH, MIN_WORDS, MAX_WORDS, SHINGLE, ALIKE, CROWD = 5, 5, 16, 5, 0.8, 64
+REACH, MIN_WORDS, MAX_WORDS, SHINGLE, ALIKE, CROWD = 5, 5, 16, 5, 0.8, 16
 #: A passage is reported when so many of its words in a row repeat.
 PASSAGE_WORDS = 20
 #: Fewer shingles can't be alike without being equal: 3 of 4 are less than 0.8.
@@ -106,12 +106,10 @@ class Cuts:
             bands.append(np.minimum.reduceat(value, self.firsts))
         return whole, bands
 
-    def sets(self) -> list[list[int]]:
-        """The shingles of each paragraph as sorted sets of signed numbers."""
-        return [
-            np.unique(s[s != _MOST]).view(np.int64).tolist()
-            for s in np.split(self.shingles, self.firsts[1:])
-        ]
+    def shingle_set(self, no: int) -> list[int]:
+        """The shingles of a paragraph as a sorted set of signed numbers."""
+        s = self.shingles[self.firsts[no] : self.lasts[no]]
+        return np.unique(s[s != _MOST]).view(np.int64).tolist()
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -153,23 +151,23 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``(whole, shingles)`` of all paragraphs of ``docs``; the same ones come repeatedly."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(whole, shingles)`` of the paragraphs ``wanted``: ``(doc_id, wholes)``."""
 
     def run(batches):
         for b in batches:
             whole, sets = [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
+            for text, wholes in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("wholes"), strict=True):
                 cuts = Cuts(text)
-                if cuts.n:
-                    whole.append(cuts.keys()[0])
-                    sets += cuts.sets()
-            if whole:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(whole).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["whole", "shingles"]
-                )
+                if not cuts.n:
+                    continue
+                own = cuts.keys()[0].view(np.int64)
+                for no in np.flatnonzero(np.isin(own, wholes.values.to_numpy())):
+                    whole.append(own[no])
+                    sets.append(cuts.shingle_set(no))
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["whole", "shingles"])
 
-    return texts(docs).mapInArrow(run, "whole long, shingles array<long>")
+    return texts(docs).join(wanted, "doc_id").select("text", "wholes").mapInArrow(run, "whole long, shingles array<long>")
 
 
 def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame | None:
@@ -190,11 +188,11 @@ def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame | None
     )
     pairs = cut(pairs.distinct())
     many = cut(more.where(F.col("n") > crowd).select("whole").distinct())
-    # Texts of one document for each paragraph that met another.
-    homes = met.where("n = 2").select(F.explode(F.array("x.home", "y.home")).alias("home")).unionByName(more.select("home")).distinct()
-    wanted = met.where("n = 2").select(F.explode(F.array("x.whole", "y.whole")).alias("whole")).unionByName(more.select("whole")).distinct()
-    found = shingle_sets(docs.join(homes.select(F.col("home").alias("doc_id")), "doc_id", "left_semi"))
-    sets = cut(found.join(wanted, "whole", "left_semi").dropDuplicates(["whole"]))
+    # Shingles of each paragraph that met another, read again from one document that has it.
+    two = met.where("n = 2").select(F.explode(F.array("x", "y")).alias("p")).select("p.home", "p.whole")
+    wanted = two.unionByName(more.select("home", "whole")).groupBy(F.col("home").alias("doc_id"))
+    found = shingle_sets(docs, wanted.agg(F.collect_set("whole").alias("wholes")))
+    sets = cut(found.dropDuplicates(["whole"]))
     a = sets.select(F.col("whole").alias("a"), F.col("shingles").alias("_a"))
     b = sets.select(F.col("whole").alias("b"), F.col("shingles").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
