@@ -24,7 +24,7 @@ ACCEPTED = {
 }
 LONG_MAX, LONG_MIN = 9223372036854775807, -9223372036854775808
 # Shapes of actors and JSON numbers, scheme of entity references.
-URN_SCHEME = "track"
+URN_SCHEME = "work"
 ACTOR = r"(?s)^(user|agent):.+$"
 NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 

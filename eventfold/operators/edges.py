@@ -79,7 +79,7 @@ def directed(state: DataFrame) -> DataFrame:
 
 
 def touching(state: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges of each entity. An entity with very many edges is spread by a salt."""
+    """Edges of each entity. Rows are emitted twice and never grouped."""
     return directed(state).join(entities, ["entity_uuid"], "inner")
 
 

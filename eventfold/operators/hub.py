@@ -20,8 +20,8 @@ def arrival() -> list[Column]:
 def before_first_bad(rows: DataFrame, bad: Column) -> DataFrame:
     """Rows of each batch with ``first_bad``: the line of its first bad row or NULL.
 
-    One value per batch is found with partial aggregation and joined back; a very
-    large batch is spread by a salt.
+    One value per batch is found with partial aggregation and joined back; adaptive
+    execution splits a very large batch in the join.
     """
     first = rows.groupBy("batch").agg(F.min(F.when(bad, F.col("line"))).alias("first_bad"))
     return rows.join(first, ["batch"], "left")
@@ -150,18 +150,24 @@ def sequence_cuts(rows: DataFrame, rows_per_split: int | None = None) -> DataFra
     return judged.withColumn("outcome", outcome).select(*rows.columns, "outcome")
 
 
-def append(stored: DataFrame, incoming: DataFrame, rows_per_split: int | None = None) -> DataFrame:
+def append(
+    stored: DataFrame, incoming: DataFrame, rows_per_split: int | None = None, ledger: DataFrame | None = None
+) -> DataFrame:
     """Offsets for incoming rows: dense after the stored ones, old ones for copies.
 
     New ids are numbered in arrival order with per-slice counts, not in one task.
+    ``ledger`` holds ids and offsets of compacted rows (see ``snapshots.compact``): their
+    copies are duplicates too, and their offsets are never given again.
     Returns the incoming rows with ``hub_offset`` and ``duplicate``.
     """
     first = incoming.groupBy("event_uuid").agg(F.min(F.struct("batch", "line")).alias("came"))
     known = stored.select("event_uuid", "hub_offset")
+    if ledger is not None:
+        known = known.unionByName(ledger.select("event_uuid", "hub_offset"))
     fresh = first.join(known.select("event_uuid"), "event_uuid", "left_anti").select(
         "event_uuid", "came", "came.batch", "came.line"
     )
-    top = stored.agg(F.coalesce(F.max("hub_offset"), F.lit(0))).scalar()
+    top = known.agg(F.coalesce(F.max("hub_offset"), F.lit(0))).scalar()
     numbered = ordered(fresh, [], arrival(), "batch", {"place": position()}, rows_per_split)
     offsets = known.withColumn("came", F.lit(None).cast(fresh.schema["came"].dataType)).unionByName(
         numbered.select("event_uuid", (F.col("place") + top).alias("hub_offset"), "came")

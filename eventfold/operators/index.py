@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventfold.functions.stamps import ULID
+from eventfold.functions.values import URN_SCHEME
 from eventfold.operators.loops import components
 from eventfold.operators.skew import following_row, list_parts, ordered, position, previous_row
 
@@ -227,7 +228,7 @@ def attention_queue(items: DataFrame, questions: DataFrame, state: str = "Needs
     )
 
 
-def resolve_references(refs: DataFrame, items: DataFrame) -> DataFrame:
+def resolve_references(refs: DataFrame, items: DataFrame, scheme: str = URN_SCHEME) -> DataFrame:
     """References (``ref``) to items: id, unique id prefix, URN or identifier.
 
     Every form is an equi-join. For prefixes items are counted per prefix first (only
@@ -235,7 +236,7 @@ def resolve_references(refs: DataFrame, items: DataFrame) -> DataFrame:
     The best form wins; more than one candidate in it leaves the reference open.
     """
     wanted = refs.select("ref").distinct()
-    urn = F.regexp_extract("ref", "^track:[a-z]+:(.+)$", 1)
+    urn = F.regexp_extract("ref", f"^{scheme}:[a-z]+:(.+)$", 1)
     # At most 25 lengths: one array for the whole query.
     lengths = wanted.where(F.length("ref") < 26).agg(F.collect_set(F.length("ref"))).scalar()
     prefixes = (

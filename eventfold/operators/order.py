@@ -66,9 +66,13 @@ def latest_event(log: DataFrame) -> DataFrame:
     )
 
 
-def missing_dependencies(log: DataFrame) -> DataFrame:
-    """``(event_uuid, dep)`` for each named dependency that is not in the log."""
+def missing_dependencies(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(event_uuid, dep)`` for each named dependency that is not known.
+
+    ``known`` has the ids (``event_uuid``) of the events at hand: the log itself unless given.
+    """
+    known = log if known is None else known
     wanted = log.select("event_uuid", F.explode("deps").alias("dep"))
-    return wanted.join(log.select(F.col("event_uuid").alias("dep")), "dep", "left_anti").select(
+    return wanted.join(known.select(F.col("event_uuid").alias("dep")), "dep", "left_anti").select(
         "event_uuid", "dep"
     )

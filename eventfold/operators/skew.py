@@ -197,8 +197,8 @@ def _sliced(df: DataFrame, keys: list[str], pos: str, rows_per_split: int) -> Da
             *keys, _LO, _HI, (F.ceil(F.col("__n") / rows_per_split) * SPREAD).alias(_PARTS)
         )
     )
-    # Size bound: at most (all rows / rows_per_split) groups can be above the limit.
-    marked = df.join(F.broadcast(hot), keys, "left")
+    # At most (all rows / rows_per_split) groups are above the limit; the size decides the join.
+    marked = df.join(hot, keys, "left")
     share = (F.col(pos) - F.col(_LO)).cast("double") / (F.col(_HI) - F.col(_LO) + 1)
     # Doubles keep the order: the expression is monotone in the position.
     return marked.withColumn(

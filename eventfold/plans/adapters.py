@@ -258,17 +258,14 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item-to-item edges: one ``blocks`` edge per order with such a first line."""
+    """Item-to-item edges: ``blocks`` for orders with such a first line, else ``requires``."""
     orders = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
-    first = (
-        table(spark, sf_dir, "lineitem")
-        .where((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1))
-        .select("l_orderkey")
-        .distinct()
-    )
+    blocks = (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1)
+    kind = F.when(blocks, F.lit("blocks")).otherwise(F.lit("requires"))
+    first = table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("relation_kind")).distinct()
     o = F.col("l_orderkey")
     return first.select(
-        F.lit("blocks").alias("relation_kind"),
+        "relation_kind",
         tag("O", o).alias("from_uuid"),
         tag("O", (o * 7 + 3) % orders.scalar()).alias("to_uuid"),
     )
@@ -450,9 +447,10 @@ SQL["items"] = """SELECT 'O' || o_orderkey AS entity_uuid, 'P' || (o_custkey % 5
   'C' || o_custkey AS effort_uuid, CASE o_orderstatus WHEN 'F' THEN 'Done' WHEN 'P' THEN 'In Progress'
   ELSE 'Todo' END AS state_key, o_orderpriority AS priority, epoch_us(o_orderdate) AS created_us,
   o_orderkey AS item_no FROM orders"""
-SQL["links"] = """SELECT DISTINCT 'blocks' AS relation_kind, 'O' || l_orderkey AS from_uuid,
+SQL["links"] = """SELECT DISTINCT CASE WHEN l_returnflag = 'N' AND l_linenumber = 1
+  THEN 'blocks' ELSE 'requires' END AS relation_kind, 'O' || l_orderkey AS from_uuid,
   'O' || ((l_orderkey * 7 + 3) % (SELECT count(*) FROM orders)) AS to_uuid
-  FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber = 1"""
+  FROM lineitem"""
 SQL["talks"] = """SELECT 'T' || conv_id || '-' || turn AS event_uuid, 'N' || (conv_id % 3) AS node_uuid,
   turn AS stream_seq, turn * 1000000 AS hlc_us, 0 AS hlc_ns, 'N' || (conv_id % 3) AS hlc_node,
   CAST(0 AS BIGINT) AS hlc_seq,

@@ -50,7 +50,7 @@ def item_list(spark, sf):
 
 READY = {
     **GROUPS,
-    "blockers": """SELECT l.to_uuid AS entity_uuid, l.from_uuid AS blocker FROM links l WHERE EXISTS (SELECT 1 FROM items i
+    "blockers": """SELECT l.to_uuid AS entity_uuid, l.from_uuid AS blocker FROM links l WHERE relation_kind = 'blocks' AND EXISTS (SELECT 1 FROM items i
       LEFT JOIN groups g ON g.state_key = i.state_key WHERE i.entity_uuid = l.from_uuid
         AND coalesce(g.state_group, 'none') <> 'completed')""",
     "todo": """SELECT i.* FROM items i JOIN groups g ON g.state_key = i.state_key WHERE g.state_group = 'unstarted'""",
@@ -192,13 +192,13 @@ def completed_at(spark, sf):
     with_parts(
         ["changes"],
         """SELECT state_key, count(*) AS stays, CAST(sum(next_us - at_us) AS BIGINT) AS total_us,
-        max(next_us - at_us) AS longest_us FROM spans WHERE next_us IS NOT NULL GROUP BY state_key""",
+        max(next_us - at_us) AS longest_us, quantile_disc(next_us - at_us, 0.5) AS median_us FROM spans WHERE next_us IS NOT NULL GROUP BY state_key""",
         SPANS,
     ),
 )
 def cycle_times(spark, sf):
     """Time in each state over finished stays."""
-    return index.cycle_times(dated_changes(spark, sf)).select("state_key", "stays", "total_us", "longest_us")
+    return index.cycle_times(dated_changes(spark, sf))
 
 
 @query(
@@ -253,13 +253,13 @@ NUMBERED = {
             UNION ALL SELECT r.ref, 2, 'prefix', count(*), min(entity_uuid) FROM (SELECT DISTINCT ref FROM refs) r
               JOIN named ON entity_uuid[1:length(r.ref)] = r.ref AND length(r.ref) < 26 GROUP BY r.ref
             UNION ALL SELECT r.ref, 3, 'urn', 1, entity_uuid FROM (SELECT DISTINCT ref FROM refs) r
-              JOIN named ON 'track:issue:' || entity_uuid = r.ref
+              JOIN named ON 'work:issue:' || entity_uuid = r.ref
             UNION ALL SELECT r.ref, 4, 'identifier', count(*), min(entity_uuid) FROM (SELECT DISTINCT ref FROM refs) r
               JOIN named ON identifier = r.ref GROUP BY r.ref)) f ON f.r = refs.ref AND f.best = 1""",
         {
             **NUMBERED,
             "refs": """SELECT c_custkey AS ref_id, CASE c_custkey % 5 WHEN 0 THEN o.entity_uuid
-                WHEN 1 THEN o.entity_uuid[1:8 + c_custkey % 7] WHEN 2 THEN 'track:issue:' || o.entity_uuid
+                WHEN 1 THEN o.entity_uuid[1:8 + c_custkey % 7] WHEN 2 THEN 'work:issue:' || o.entity_uuid
                 WHEN 3 THEN 'KEY' || (c_custkey % 6) || '-' || (c_custkey % 977) ELSE 'nothing-' || c_custkey END AS ref
               FROM customer JOIN unnumbered o ON CAST(o.entity_uuid[1:10] AS BIGINT) = c_custkey""",
         },
@@ -273,7 +273,7 @@ def references(spark, sf):
     ref = (
         F.when(c % 5 == 0, u)
         .when(c % 5 == 1, F.substring(u, F.lit(1), (c % 7 + 8).cast("int")))
-        .when(c % 5 == 2, F.concat(F.lit("track:issue:"), u))
+        .when(c % 5 == 2, F.concat(F.lit("work:issue:"), u))
         .when(c % 5 == 3, F.concat(F.lit("KEY"), text(c % 6), F.lit("-"), text(c % 977)))
         .otherwise(tag("nothing-", c))
     )

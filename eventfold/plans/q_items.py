@@ -137,9 +137,7 @@ def missing_dependencies(spark, sf):
     pad = lambda c: F.lpad(c.cast("string"), 26, "0")
     rows = table(spark, sf, "events")
     log = rows.select(pad(i).alias("event_uuid"), F.array(pad(i - 1), pad(i + 5)).alias("deps"), "event_type")
-    known = log.where(F.col("event_type") != "signup").select(F.col("event_uuid").alias("dep"))
-    wanted = log.select("event_uuid", F.explode("deps").alias("dep"))
-    return wanted.join(known, "dep", "left_anti").select("event_uuid", "dep")
+    return order.missing_dependencies(log, log.where(F.col("event_type") != "signup"))
 
 
 @query(

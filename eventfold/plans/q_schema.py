@@ -456,7 +456,7 @@ def catalogs(spark, sf):
     at = lambda n: tag("s", o % 50 + 50 * (n % 45))
     workflow_states = base.select(proj(o).alias("project_uuid"), tag("w", o % 100).alias("workflow"), at(o).alias("state")).distinct()
     workflow_types = base.select(proj(o).alias("project_uuid"), tag("w", o % 100).alias("workflow"), tag("t", o % 13).alias("type")).distinct()
-    moves = base.where(o % 3 == 0).select(
+    moves = base.select(
         proj(o).alias("project_uuid"), tag("w", o % 100).alias("workflow"), at(o).alias("from_state"), at(o + 7).alias("to_state")
     ).distinct()
     types = (
@@ -481,7 +481,7 @@ CATALOGS = {
       't' || (o_orderkey % 13) AS type FROM orders""",
     "k_moves": """SELECT DISTINCT 'K' || (o_orderkey % 50) AS project_uuid, 'w' || (o_orderkey % 100) AS workflow,
       's' || (o_orderkey % 50 + 50 * (o_orderkey % 45)) AS from_state,
-      's' || (o_orderkey % 50 + 50 * ((o_orderkey + 7) % 45)) AS to_state FROM orders WHERE o_orderkey % 3 = 0""",
+      's' || (o_orderkey % 50 + 50 * ((o_orderkey + 7) % 45)) AS to_state FROM orders""",
     "k_types": """SELECT 'K' || (c_custkey % 50) AS project_uuid, 't' || (c_custkey // 50 % 11) AS type,
       max('w' || (c_custkey % 120)) AS workflow FROM customer GROUP BY 1, 2""",
 }

@@ -63,8 +63,8 @@ def stamp_text(i, us, node):
 def event_lines(spark, sf):
     """Event rows as wire lines in batches of twenty, some of them damaged."""
     i, k = F.col("event_id"), F.col("k")
-    node = F.concat(F.lit("01JHM8X9K2Q4N"), F.lpad(text(i % 3), 13, "0"))
-    entity = F.concat(F.lit("01JHM8X9K2Q4Z"), F.lpad(text(F.col("user_id")), 13, "0"))
+    node = F.concat(F.lit("01KZQ3V7WD5RN"), F.lpad(text(i % 3), 13, "0"))
+    entity = F.concat(F.lit("01KZQ3V7WD5RZ"), F.lpad(text(F.col("user_id")), 13, "0"))
     kind = F.when(i % 50 == 11, F.lit("item.explode")).otherwise(F.lit("item.adjust-field"))
     seq = F.when(i % 50 == 15, F.lit("9223372036854775808")).otherwise(text(i))
     line = F.concat(
@@ -138,14 +138,14 @@ def batch_cut_off(spark, sf):
         """SELECT event_id, us IS NOT NULL AND event_id % 10 NOT IN (3, 4, 5, 6, 8) AS parsed,
         CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6, 8) THEN us END AS hlc_us,
         CASE WHEN event_id % 10 = 2 THEN 789 WHEN event_id % 10 NOT IN (3, 4, 5, 6, 8) THEN 0 END AS hlc_ns,
-        CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6, 8) THEN '01JHM8X9K2Q4N' || lpad(CAST(event_id % 3 AS VARCHAR), 13, '0')
+        CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6, 8) THEN '01KZQ3V7WD5RN' || lpad(CAST(event_id % 3 AS VARCHAR), 13, '0')
           END AS hlc_node, CASE WHEN event_id % 10 NOT IN (3, 4, 5, 6, 8) THEN event_id % 7 END AS hlc_seq FROM ev""",
     ),
 )
 def clock_decode(spark, sf):
     """Clock texts to instant, nanoseconds, node and counter; broken ones are NULL."""
     i = F.col("event_id")
-    node = F.concat(F.lit("01JHM8X9K2Q4N"), F.lpad(text(i % 3), 13, "0"))
+    node = F.concat(F.lit("01KZQ3V7WD5RN"), F.lpad(text(i % 3), 13, "0"))
     rows = with_k(table(spark, sf, "events")).select(
         "event_id",
         padded(i).alias("event_uuid"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.functions.kinds import ALL_KINDS
-from eventfold.functions.stamps import is_ulid, parse_hlc
+from eventfold.functions.stamps import instant_us, is_ulid, parse_hlc
 from eventfold.functions.values import is_actor
 from eventfold.operators.hub import before_first_bad
 
@@ -138,7 +138,7 @@ def decode_payloads(log: DataFrame) -> DataFrame:
         F.col("p.to_entity_uuid").alias("to_uuid"),
         F.col("p.attrs").alias("attrs"),
         F.col("p.executor").alias("executor"),
-        F.col("p.claim_expires_at").alias("claim_expires_at"),
+        instant_us(F.col("p.claim_expires_at")).alias("expires_us"),
     )
 
 

@@ -20,11 +20,21 @@ def write_part(df: DataFrame, path: str, name: str, batch_id: int, *by: str) ->
 
 
 def read_part(spark: SparkSession, path: str, name: str, before: int | None = None) -> DataFrame | None:
-    """All closed generations of a table, or those before a batch; NULL when none."""
+    """All closed generations of a table, or those before a batch; NULL when none.
+
+    Only a folder that isn't there yet counts as none; any other error is raised.
+    """
     try:
-        rows = spark.read.parquet(f"{path}/{name}")
         closed = spark.read.parquet(f"{path}/closed").select("gen")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    try:
+        rows = spark.read.parquet(f"{path}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if before is not None:
         rows = rows.where(F.col("gen") < before)

@@ -126,3 +126,12 @@ def test_page_and_cursors(spark):
     assert merged == {"A": 4, "B": 5}
     last = hub.pull_page(log, known, "W", 50).agg(F.max("has_more")).collect()[0][0]
     assert last is False
+
+
+def test_offsets_go_on_after_compaction(spark):
+    rows = spark.createDataFrame([("a", 0, 0), ("b", 0, 1)], "event_uuid string, batch int, line int")
+    none = spark.createDataFrame([], "event_uuid string, hub_offset bigint")
+    stored, ledger = snapshots.compact(hub.append(none, rows), 2)
+    more = spark.createDataFrame([("c", 1, 0), ("a", 1, 1)], "event_uuid string, batch int, line int")
+    got = {r.event_uuid: (r.hub_offset, r.duplicate) for r in hub.append(stored, more, ledger=ledger).collect()}
+    assert stored.count() == 0 and got == {"c": (3, False), "a": (1, True)}
