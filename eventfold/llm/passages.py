@@ -136,7 +136,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     begin, end = signs[begin], signs[end]
                 whole, bands = cuts.keys()
                 take.append(np.full(len(some), i))
-                for column, value in zip(parts, (some, begin, end, sizes[some], whole[some], *[x[some] for x in bands]), strict=True):
+                # Short paragraphs are alike only when equal; no band is looked up for them.
+                banded = sizes[some] >= SHINGLE + MIN_SHINGLES - 1
+                bands = [np.where(banded, x[some], np.uint64(0)) for x in bands]
+                for column, value in zip(parts, (some, begin, end, sizes[some], whole[some], *bands), strict=True):
                     column.append(value)
             if not take:
                 continue
