@@ -22,9 +22,9 @@ WITH docs AS (
   SELECT r, no, line, {_WORDS.format("line")} AS w FROM split WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), judged AS (
   SELECT r, line, w, row_number() OVER (PARTITION BY r, line ORDER BY no) > 1 AS again, len(w) AS n,
-         len(list_filter(w, x -> x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) AS seps,
-         len(list_filter(w, x -> {_any_end("x", SYMBOLS)})) AS marks,
-         len(list_filter(w, x -> {_any_end("x", ENDINGS)})) AS sentence_ends,
+         len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) AS seps,
+         len(list_filter(w, lambda x: {_any_end("x", SYMBOLS)})) AS marks,
+         len(list_filter(w, lambda x: {_any_end("x", ENDINGS)})) AS sentence_ends,
          ({" OR ".join(f"contains(lower(line), '{p}')" for p in PHRASES)}) AS phrase
   FROM lines
 ), ruled AS (
