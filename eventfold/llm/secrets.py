@@ -8,7 +8,7 @@ DataFrame operations only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventfold.operators.loops import cut
@@ -22,6 +22,20 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Ratio for each character above which a token is taken for random, and rows made for training.
 MARGIN, MADE = 0.35, 6000
+#: Pairs by which a character's chances lean on the frequency of the next one alone.
+BACKOFF = 20.0
+#: Labelled ordinary: words, names of words, plain numbers. Other tokens are judged and not learnt from.
+ORDINARY = r"^[_/+=-]*(([A-Z]?[a-z]{2,})+|[A-Z]+|[0-9]+)([_/+=-]+(([A-Z]?[a-z]{2,})+|[A-Z]+|[0-9]+))*[_/+=-]*$"
+# Fixed words for made identifiers.
+WORDS = (
+    "account address batch buffer cache channel client column config context count current customer data default "
+    "document error event field file filter format frame group handler header image index input item kernel key "
+    "language length level library list local manager message method model module name network number object option "
+    "order output package page parser path payload process product provider query queue record region request "
+    "resource response result schema search server service session source state status storage stream string "
+    "support system table target template text thread time type update user value vector version view window "
+    "worker zone"
+).split()
 
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
@@ -98,6 +112,26 @@ def made_random(spark: SparkSession, rows: int = MADE) -> DataFrame:
     )
 
 
+def made_ordinary(spark: SparkSession, rows: int = MADE) -> DataFrame:
+    """Labelled samples of ordinary identifiers ``(token)``: joined words and plain numbers.
+
+    They stand for names that a small table doesn't hold; the count is a parameter, not data.
+    """
+    words = F.array(*[F.lit(w) for w in WORDS])
+
+    def word(k: int) -> Column:
+        return F.element_at(words, (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(WORDS))) + 1).cast("int"))
+
+    number = F.lpad(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(10**16)).cast("string"), 16, "0")
+    three = [word(k) for k in range(3)]
+    kinds = F.pmod("id", F.lit(6))
+    return spark.range(rows).select(
+        F.when(kinds == 0, F.concat_ws("_", *three)).when(kinds == 1, F.concat_ws("-", *three))
+        .when(kinds == 2, F.concat_ws("/", *three)).when(kinds == 3, F.concat(three[0], *[F.initcap(w) for w in three[1:]]))
+        .when(kinds == 4, F.upper(F.concat_ws("_", *three))).otherwise(number).alias("token")
+    )
+
+
 def bigrams(tokens: DataFrame) -> DataFrame:
     """``(token, a, b)`` for neighbouring characters; other columns stay."""
     at = F.sequence(F.lit(1), F.length("token") - 1)
@@ -105,12 +139,14 @@ def bigrams(tokens: DataFrame) -> DataFrame:
     return pairs.withColumn("a", F.expr("substring(token, i, 1)")).withColumn("b", F.expr("substring(token, i + 1, 1)")).drop("i")
 
 
-def train(samples: DataFrame) -> DataFrame:
+def train(samples: DataFrame, weight: float = BACKOFF) -> DataFrame:
     """``(a, b, ratio)`` of all pairs of the alphabet from samples ``(token, random, times)``.
 
     ``ratio`` is the log of the chance of ``b`` after ``a`` in random strings over that in
-    ordinary ones, with one added to each count. The table has a row for each two
-    characters of the fixed alphabet, whatever the samples are.
+    ordinary ones. Either chance counts ``weight`` more pairs, shared out as ``b`` is
+    frequent at all, so a character that a model has hardly seen isn't judged by the few
+    pairs it was seen in. The table has a row for each two characters of the fixed
+    alphabet, whatever the samples are.
     """
     counted = bigrams(samples).groupBy("a", "b").agg(
         F.sum(F.when(F.col("random"), F.col("times")).otherwise(0)).alias("r"),
@@ -119,17 +155,24 @@ def train(samples: DataFrame) -> DataFrame:
     spark = samples.sparkSession
     signs = F.array(*[F.lit(c) for c in ALPHABET])
     pairs = spark.range(1).select(F.explode(signs).alias("a")).select("a", F.explode(signs).alias("b"))
-    after = counted.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
-    full = pairs.join(counted, ["a", "b"], "left").join(after, "a", "left").fillna(0)
-    n = float(len(ALPHABET))
-    ratio = F.log((F.col("r") + 1) / (F.col("ra") + n)) - F.log((F.col("o") + 1) / (F.col("oa") + n))
-    return full.select("a", "b", ratio.alias("ratio"))
+    full = pairs.join(counted, ["a", "b"], "left").fillna(0)
+
+    def chance(k: str) -> Column:
+        # The windows see the pairs of the alphabet.
+        own, of_b, every = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy(F.lit(0))
+        common = (F.sum(k).over(of_b) + 1) / (F.sum(k).over(every) + len(ALPHABET))
+        return (F.col(k) + weight * common) / (F.sum(k).over(own) + weight)
+
+    return full.select("a", "b", (F.log(chance("r")) - F.log(chance("o"))).alias("ratio"))
 
 
 def judged(tokens: DataFrame, model: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """The tokens of ``(token)`` that are random by the models, with ``score``."""
+    """The tokens of ``(token)`` that are random by the models, with ``score``.
+
+    Tokens of signs alone, such as rulers, aren't judged.
+    """
     # One row for each pair of the fixed alphabet: 67 * 67 rows.
-    scored = bigrams(tokens.select("token").distinct()).join(F.broadcast(model), ["a", "b"])
+    scored = bigrams(tokens.where(F.col("token").rlike("[A-Za-z0-9]")).select("token").distinct()).join(F.broadcast(model), ["a", "b"])
     return scored.groupBy("token").agg(F.avg("ratio").alias("score")).where(F.col("score") > margin)
 
 
@@ -137,9 +180,9 @@ def scan(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """``(doc_id, row_key, base, spans)`` for each row: pattern spans, and all spans.
 
     The random model learns from the strings that the patterns caught and from made ones,
-    the ordinary model from all other tokens; equal tokens of a row set count by the
-    logarithm of how often they occur, so one string copied to a third of all rows isn't
-    the model. Null and empty texts have no spans; repeated rows have equal ones; other
+    the ordinary model from the other tokens that look like words, names or numbers
+    (``ORDINARY``) and from made ones; equal tokens count by the logarithm of how often
+    they occur, so one string copied to a third of all rows isn't the model. Null and empty texts have no spans; repeated rows have equal ones; other
     columns are ignored; no rows give no rows.
     """
     rows = cut(base_spans(docs))
@@ -147,9 +190,10 @@ def scan(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     caught = rows.select(F.explode("random").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     times = F.log2(F.col("n") + 1.0)
     samples = (
-        tokens.select("token", F.lit(False).alias("random"), times.alias("times"))
+        tokens.where(F.col("token").rlike(ORDINARY)).select("token", F.lit(False).alias("random"), times.alias("times"))
         .unionByName(caught.select("token", F.lit(True).alias("random"), times.alias("times")))
         .unionByName(made_random(docs.sparkSession).select("token", F.lit(True).alias("random"), F.lit(1.0).alias("times")))
+        .unionByName(made_ordinary(docs.sparkSession).select("token", F.lit(False).alias("random"), F.lit(1.0).alias("times")))
     )
     odd = judged(tokens, cut(train(samples)), margin)
     at = rows.select("doc_id", "row_key", F.explode("tokens").alias("t")).select(

@@ -342,8 +342,11 @@ def test_secrets(make, empty):
     assert secrets.scan(empty).count() == secrets.redacted(empty).count() == 0
 
 
-@pytest.mark.xfail(reason="open: the random model does not yet flag this key over a small set of names", strict=False)
-def test_random_key_is_added(make):
-    docs = make("key qZ8vX2mK9wR4tY7uP1aS6dF3 of us", ordinary_names())
-    got = {(r.doc_id, r.spans) for r in secrets.scan(docs).select("doc_id", secrets.listed("spans").alias("spans")).collect()}
-    assert (0, "markov:4:28") in got
+def test_random_keys_are_added(make):
+    keys = ["qZ8vX2mK9wR4tY7uP1aS6dF3", "9f86d081884c7d65b9a2", "wJalrXUtnFEMIK7MDENGbPxRfiCY"]
+    names = "customer_order_status getUserAccountById 4952935900253052 /usr/local/share/dictionary ------------------"
+    for more in ([], [ordinary_names()]):
+        docs = make(*[f"key {k} of us" for k in keys], names, *more)
+        got = {(r.doc_id, r.spans) for r in secrets.scan(docs).select("doc_id", secrets.listed("spans").alias("spans")).collect()}
+        assert {(i, f"markov:4:{4 + len(k)}") for i, k in enumerate(keys)} <= got
+        assert {(r, "") for r in range(3, 4 + len(more))} <= got
