@@ -94,22 +94,26 @@ class Cuts:
         shingles[room < SHINGLE] = _MOST  # of no paragraph
         self.shingles = shingles
 
-    def keys(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """A hash of each paragraph's words in order, and its MinHash values."""
+    def whole(self) -> np.ndarray:
+        """A hash of each paragraph's words in order."""
         at = np.arange(self.n, dtype=np.uint64) - np.repeat(self.firsts, self.lasts - self.firsts).astype(np.uint64)
-        whole = np.add.reduceat(_mix(self.hashes + at * _BANDS[0]), self.firsts)
+        return np.add.reduceat(_mix(self.hashes + at * _BANDS[0]), self.firsts)
+
+    def bands(self) -> list[np.ndarray]:
+        """The MinHash values of each paragraph."""
         empty = self.shingles == _MOST
         bands = []
         for c in _BANDS:
             value = _mix(self.shingles * c)
             value[empty] = _MOST
             bands.append(np.minimum.reduceat(value, self.firsts))
-        return whole, bands
+        return bands
 
     def shingle_set(self, no: int) -> list[int]:
         """The shingles of a paragraph as a sorted set of signed numbers."""
-        s = self.shingles[self.firsts[no] : self.lasts[no]]
-        return np.unique(s[s != _MOST]).view(np.int64).tolist()
+        found = set(self.shingles[self.firsts[no] : self.lasts[no]].view(np.int64).tolist())
+        found.discard(-1)  # of no paragraph
+        return sorted(found)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 if not text.isascii():
                     signs = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
                     begin, end = signs[begin], signs[end]
-                whole, bands = cuts.keys()
+                whole, bands = cuts.whole(), cuts.bands()
                 take.append(np.full(len(some), i))
                 # Short paragraphs are alike only when equal; no band is looked up for them.
                 banded = sizes[some] >= SHINGLE + MIN_SHINGLES - 1
@@ -164,7 +168,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cuts = Cuts(text)
                 if not cuts.n:
                     continue
-                own = cuts.keys()[0].view(np.int64)
+                own = cuts.whole().view(np.int64)
                 for no in np.flatnonzero(np.isin(own, wholes.values.to_numpy())):
                     whole.append(own[no])
                     sets.append(cuts.shingle_set(no))
@@ -204,10 +208,17 @@ def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame | None
     return close.unionByName(_by_sums(sets.join(many, "whole", "left_semi")))
 
 
-def left_out(n: int) -> list[tuple[int, ...]]:
-    """The choices of shingles that a set of ``n`` may have beyond those of one alike."""
+def left_out(n: int) -> np.ndarray:
+    """The choices of shingles that a set of ``n`` may have beyond those of one alike.
+
+    One row for each choice, with ones where a shingle is left out.
+    """
     most = n - -(-n * round(10 * ALIKE) // 10)
-    return [c for k in range(most + 1) for c in combinations(range(n), k)]
+    chosen = [c for k in range(most + 1) for c in combinations(range(n), k)]
+    out = np.zeros((len(chosen), n), np.uint64)
+    for row, c in zip(out, chosen, strict=True):
+        row[list(c)] = 1
+    return out
 
 
 def _by_sums(sets: DataFrame) -> DataFrame:
@@ -221,19 +232,26 @@ def _by_sums(sets: DataFrame) -> DataFrame:
     def run(batches):
         choices = {}
         for b in batches:
-            whole, sums, kept, sizes = [], [], [], []
-            for w, s in zip(b.column("whole").to_pylist(), b.column("shingles").to_pylist(), strict=True):
+            sums, kept, times = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], []
+            members = b.column("shingles").to_pylist()
+            for s in members:
                 n = len(s)
                 if n not in choices:
-                    choices[n] = left_out(n)
+                    out = left_out(n)
+                    choices[n] = out, (n - out.sum(1)).astype(np.int32)
+                rest, count = choices[n]
                 values = np.array(s, np.int64).view(np.uint64)
-                total = values.sum(dtype=np.uint64)
-                for c in choices[n]:
-                    sums.append((total - values[list(c)].sum(dtype=np.uint64)).view(np.int64))
-                    whole.append(w)
-                    kept.append(n - len(c))
-                    sizes.append(n)
-            columns = [pa.array(whole, pa.int64()), pa.array(np.array(sums, np.int64)), pa.array(kept, pa.int32()), pa.array(sizes, pa.int32())]
+                sums.append(values.sum(dtype=np.uint64) - rest @ values)
+                kept.append(count)
+                times.append(len(count))
+            sizes = [len(s) for s in members]
+            times = np.array(times, np.int64)
+            columns = [
+                pa.array(np.repeat(b.column("whole").to_numpy(zero_copy_only=False), times)),
+                pa.array(np.concatenate(sums).view(np.int64)),
+                pa.array(np.concatenate(kept)),
+                pa.array(np.repeat(np.array(sizes, np.int32), times)),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["whole", "sum", "shared", "n"])
 
     rows = sets.mapInArrow(run, "whole long, sum long, shared int, n int")

@@ -285,7 +285,7 @@ def test_alike_paragraphs_are_linked(make, spark, crowd):
     sets = {}
     for w in changed:
         cuts = passages.Cuts(" ".join(w).encode())
-        for no, key in enumerate(cuts.keys()[0].view(np.int64).tolist()):
+        for no, key in enumerate(cuts.whole().view(np.int64).tolist()):
             if cuts.lasts[no] - cuts.firsts[no] >= 5:
                 sets[key] = set(cuts.shingle_set(no))
     near = {tuple(sorted((a, b))) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
