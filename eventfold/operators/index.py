@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventfold.functions.stamps import ULID
 from eventfold.functions.values import URN_SCHEME
 from eventfold.operators.loops import components
-from eventfold.operators.skew import following_row, list_parts, ordered, position, previous_row
+from eventfold.operators.skew import LIST_ITEMS, following_row, list_parts, ordered, position, previous_row
 
 DAY_US = 24 * 3600 * 1_000_000
 # Semantic groups, and the ones that close an item.
@@ -82,12 +82,12 @@ def ready_work(items: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFra
     )
 
 
-def blocked_work(items: DataFrame, edges: DataFrame, groups: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """Unstarted items with their blockers, long lists in further parts."""
+def blocked_work(items: DataFrame, edges: DataFrame, groups: DataFrame, part_items: int = LIST_ITEMS) -> DataFrame:
+    """Unstarted items with their blockers, in parts of bounded length."""
     pairs = open_blockers(items, edges, groups).join(
         unstarted(items, groups).select("entity_uuid"), "entity_uuid", "left_semi"
     )
-    return list_parts(pairs, ["entity_uuid"], F.col("blocker"), "blockers", max_items)
+    return list_parts(pairs, ["entity_uuid"], F.col("blocker"), "blockers", part_items)
 
 
 def inverse_edges(edges: DataFrame, items: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventfold.functions.stamps import ORDER_COLUMNS, order_by, order_key
 from eventfold.functions.values import coerce, json_text, json_type
 from eventfold.operators.skew import (
+    LIST_ITEMS,
     following_row,
     list_parts,
     ordered,
@@ -170,19 +171,18 @@ def item_fields(log: DataFrame, fields: list[str]) -> DataFrame:
     return headers(log).join(wide, "entity_uuid", "left")
 
 
-def item_view(log: DataFrame, members: DataFrame, fields: list[str], max_items: int = 10_000) -> DataFrame:
+def item_view(log: DataFrame, members: DataFrame, fields: list[str], part_items: int = LIST_ITEMS) -> DataFrame:
     """The item read model: header, one column per named field, member lists.
 
-    Lists are bounded rows (see ``list_parts``): an item with more members than
-    ``max_items`` continues in further parts, the header repeated.
+    Lists come in parts (see ``list_parts``): an item with more members than
+    ``part_items`` continues in further parts, the header repeated.
     """
     named = F.concat_ws("=", "set_name", "member")
-    lists = list_parts(members, ["entity_uuid"], named, "members", max_items)
+    lists = list_parts(members, ["entity_uuid"], named, "members", part_items)
     return (
         item_fields(log, fields)
         .join(lists, "entity_uuid", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
     )
 
 

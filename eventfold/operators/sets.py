@@ -9,7 +9,7 @@ from eventfold.functions.stamps import order_key
 from eventfold.functions.values import is_actor
 from eventfold.operators.order import first_copy
 from eventfold.operators.registers import STAMP, lww
-from eventfold.operators.skew import list_parts
+from eventfold.operators.skew import LIST_ITEMS, list_parts
 
 # Kinds that add to or remove from a named set.
 SET_OPS = {
@@ -53,10 +53,10 @@ def tombstones(state: DataFrame) -> DataFrame:
     return state.where(~F.col("active"))
 
 
-def member_lists(state: DataFrame, max_items: int = 10_000) -> DataFrame:
+def member_lists(state: DataFrame, part_items: int = LIST_ITEMS) -> DataFrame:
     """Sorted active members per set, in parts of bounded length."""
     return list_parts(
-        active_members(state), ["entity_uuid", "set_name"], F.col("member"), "members", max_items
+        active_members(state), ["entity_uuid", "set_name"], F.col("member"), "members", part_items
     )
 
 

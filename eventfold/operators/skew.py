@@ -27,6 +27,8 @@ ROWS_SETTING = "eventfold.rowsPerSplit"
 # Slices are of equal width in the order position, so a hot group gets more of
 # them than its size asks for, to even out bursts.
 SPREAD = 8
+#: Items in one part of a list.
+LIST_ITEMS = 10_000
 
 _SLICE, _PARTS, _LO, _HI = "__slice", "__parts", "__lo", "__hi"
 
@@ -211,28 +213,27 @@ def list_parts(
     keys: list[str],
     item: Column,
     alias: str,
-    max_items: int = 10_000,
+    part_items: int = LIST_ITEMS,
+    rows_per_split: int | None = None,
 ) -> DataFrame:
-    """Sorted lists of bounded length: ``(keys, part, parts, alias)``.
+    """Sorted lists in parts of ``part_items`` items: ``(keys, part, alias)``.
 
-    A group of more than ``max_items`` items becomes several rows, its items
-    spread over parts by hash, so no task ever holds an unbounded list and no
-    item is left out. Ordinary groups are one row with ``part = 0``.
+    The items of a group (texts, not null) are numbered in order; part 0 holds the first
+    ``part_items`` of them, part 1 the next, and so on. Parts put one after the other are
+    the whole sorted list, and no task ever holds an unbounded one.
     """
     rows = df.select(*keys, item.alias(alias))
-    big = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > max_items)
-        .select(*keys, F.ceil(F.col("__n") / max_items * 2).cast("int").alias("parts"))
-    )
-    placed = rows.join(big, keys, "left").select(
-        *rows.columns,
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.when(F.col("parts").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(alias), F.col("parts")).cast("int"))
-        .alias("part"),
+    # The first seven bytes as a number: in the order of the texts, as slices need it.
+    lead = F.rpad(F.hex(F.substring(F.col(alias).cast("binary"), 1, 7)), 14, "0")
+    numbered = ordered(
+        rows.withColumn("__lead", F.conv(lead, 16, 10).cast("bigint")),
+        keys,
+        [F.col("__lead"), F.col(alias)],
+        "__lead",
+        {"__place": position()},
+        rows_per_split,
     )
-    return placed.groupBy(*keys, "part", "parts").agg(
+    part = F.floor((F.col("__place") - 1) / part_items).cast("int")
+    return numbered.groupBy(*keys, part.alias("part")).agg(
         F.sort_array(F.collect_list(alias)).alias(alias)
     )

@@ -125,8 +125,9 @@ def compaction_decisions(
 ) -> DataFrame:
     """For each requested bound: the decision, and the rows it would drop.
 
-    Refused above the watermark, or without a snapshot that reaches it. All bounds
-    are counted in one pass over the log.
+    Refused above the watermark, or while a project with rows at or below the bound has
+    no snapshot that reaches it; ``snapshots`` is one row for each project. All bounds are
+    counted in one pass over the log, by project first.
     """
     mark = cut(mark)  # one row; the optimizer cannot merge it with the scan below
     asked = [
@@ -137,11 +138,16 @@ def compaction_decisions(
         )
         for name, through in requests.items()
     ]
-    rows = stored.agg(F.array(*asked).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-    top = snapshots.agg(F.coalesce(F.max("through_offset"), F.lit(0))).scalar()
+    projects = (
+        stored.groupBy("project_uuid").agg(F.array(*asked).alias("r"))
+        .select("project_uuid", F.explode("r").alias("r")).select("project_uuid", "r.*")
+        .join(snapshots.select("project_uuid", "through_offset"), "project_uuid", "left")
+    )
+    short = (F.col("below") > 0) & (F.coalesce("through_offset", F.lit(0)) < F.col("through"))
+    rows = projects.groupBy("request", "through").agg(F.sum("below").alias("below"), F.count_if(short).alias("short"))
     decision = (
         F.when(F.col("through") > mark.scalar(), F.lit("above_watermark"))
-        .when(top < F.col("through"), F.lit("no_snapshot"))
+        .when(F.col("short") > 0, F.lit("no_snapshot"))
         .otherwise(F.lit("compact"))
     )
     return rows.select(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventfold.operators.skew import LIST_ITEMS
+
 WEEK_US = 7 * 24 * 3600 * 1_000_000
 HOUR_US = 3600 * 1_000_000
 STATES = ("Backlog", "Todo", "In Progress", "Needs Input", "Done", "Cancelled")
@@ -491,6 +493,12 @@ NEEDS = {
 }
 
 
+def parted(source: str, keys: str, item: str) -> str:
+    """The rows of a source with the part of the sorted list of ``item`` that they are in."""
+    place = f"row_number() OVER (PARTITION BY {keys} ORDER BY {item})"
+    return f"(SELECT *, CAST(({place} - 1) // {LIST_ITEMS} AS INTEGER) AS part FROM {source})"
+
+
 def with_parts(parts: list[str], body: str, extra: dict[str, str] | None = None) -> str:
     """A query text with the named parts (and what they need) in front.
 

@@ -514,10 +514,16 @@ def watermark(spark, sf):
         ["changes"],
         f"""SELECT request, through, decision, CASE decision WHEN 'compact' THEN (SELECT count(*) FROM changes
           WHERE hub_offset <= through) ELSE 0 END AS dropped FROM (SELECT request, through, CASE WHEN through
-          > {mark_sql('full_reports')} THEN 'above_watermark' WHEN through > (SELECT max(through_offset) FROM published)
-          THEN 'no_snapshot' ELSE 'compact' END AS decision FROM (SELECT 'tenth' AS request, top // 10 AS through FROM top
+          > {mark_sql('full_reports')} THEN 'above_watermark' WHEN EXISTS (SELECT 1 FROM oldest
+          WHERE first <= through AND kept < through) THEN 'no_snapshot' ELSE 'compact' END AS decision FROM (SELECT 'tenth' AS request, top // 10 AS through FROM top
           UNION ALL SELECT 'half', top * 5 // 10 FROM top UNION ALL SELECT 'most', top * 9 // 10 FROM top))""",
-        {**FULL, **PUBLISHED},
+        {
+            **FULL,
+            **PUBLISHED,
+            "oldest": """SELECT first, coalesce(kept, 0) AS kept FROM (SELECT project_uuid, min(hub_offset) AS first
+              FROM changes GROUP BY project_uuid) c LEFT JOIN (SELECT project_uuid, max(through_offset) AS kept
+              FROM published GROUP BY project_uuid) p ON p.project_uuid = c.project_uuid""",
+        },
     ),
 )
 def compaction(spark, sf):

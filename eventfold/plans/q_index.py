@@ -13,6 +13,7 @@ from eventfold.plans.adapters import (
     item_log,
     order_edges,
     order_items,
+    parted,
     table,
     tag,
     talk_log,
@@ -75,8 +76,9 @@ def ready_work(spark, sf):
     "q3_blocked_work",
     with_parts(
         ["items", "links"],
-        """SELECT entity_uuid, count(*) AS n, string_agg(blocker, ',' ORDER BY blocker) AS blockers FROM blockers
-        WHERE entity_uuid IN (SELECT entity_uuid FROM todo) GROUP BY entity_uuid""",
+        "SELECT entity_uuid, part, count(*) AS n, string_agg(blocker, ',' ORDER BY blocker) AS blockers FROM "
+        + parted("blockers WHERE entity_uuid IN (SELECT entity_uuid FROM todo)", "entity_uuid", "blocker")
+        + " GROUP BY entity_uuid, part",
         READY,
     ),
 )
@@ -84,7 +86,7 @@ def blocked_work(spark, sf):
     """Blocked unstarted items with their blockers."""
     rows = index.blocked_work(order_items(spark, sf), order_edges(spark, sf), catalog.groups(spark))
     return rows.select(
-        "entity_uuid", F.size("blockers").cast("bigint").alias("n"), F.array_join("blockers", ",").alias("blockers")
+        "entity_uuid", "part", F.size("blockers").cast("bigint").alias("n"), F.array_join("blockers", ",").alias("blockers")
     )
 
 

@@ -10,6 +10,7 @@ from eventfold.plans import catalog
 from eventfold.plans.adapters import (
     item_changes,
     item_log,
+    parted,
     table,
     with_parts,
 )
@@ -302,12 +303,15 @@ ITEM_FIELDS = ["title", "f0", "f1", "f2", "f3"]
     with_parts(
         ["log", "writes"],
         """SELECT h.entity_uuid, project_uuid, item_type, state_key, archived, created_us, updated_us,
-          title, f0, f1, f2, f3, coalesce(field_count, 0) AS field_count, member_list FROM headers h
+          title, f0, f1, f2, f3, coalesce(field_count, 0) AS field_count,
+          coalesce(part, 0) AS part, member_list FROM headers h
         LEFT JOIN (SELECT entity_uuid, count(*) AS field_count, """
         + ", ".join(f"max(CASE WHEN name = '{f}' THEN trim(written, '\"') END) AS {f}" for f in ITEM_FIELDS)
         + """ FROM state WHERE written IS NOT NULL GROUP BY entity_uuid) w ON w.entity_uuid = h.entity_uuid
-        LEFT JOIN (SELECT entity_uuid, string_agg(set_name || '=' || member, ',' ORDER BY set_name || '=' || member)
-          AS member_list FROM set_state WHERE is_add GROUP BY entity_uuid) m ON m.entity_uuid = h.entity_uuid""",
+        LEFT JOIN (SELECT entity_uuid, part, string_agg(set_name || '=' || member, ',' ORDER BY set_name || '=' || member)
+          AS member_list FROM """
+        + parted("set_state WHERE is_add", "entity_uuid", "set_name || '=' || member")
+        + " GROUP BY entity_uuid, part) m ON m.entity_uuid = h.entity_uuid",
         {**STATE_PARTS, **SET_PARTS, "headers": HEADERS},
     ),
 )
@@ -325,6 +329,7 @@ def item_view(spark, sf):
         "updated_us",
         *ITEM_FIELDS,
         F.coalesce("field_count", F.lit(0)).alias("field_count"),
+        "part",
         F.array_join("members", ",").alias("member_list"),
     )
 
@@ -413,8 +418,9 @@ def assignees(spark, sf):
     "c4_member_lists",
     with_parts(
         ["log"],
-        """SELECT entity_uuid, set_name, count(*) AS n, string_agg(member, ',' ORDER BY member) AS members
-        FROM set_state WHERE is_add GROUP BY entity_uuid, set_name""",
+        "SELECT entity_uuid, set_name, part, count(*) AS n, string_agg(member, ',' ORDER BY member) AS members FROM "
+        + parted("set_state WHERE is_add", "entity_uuid, set_name", "member")
+        + " GROUP BY entity_uuid, set_name, part",
         SET_PARTS,
     ),
 )
@@ -424,6 +430,7 @@ def member_lists(spark, sf):
     return rows.select(
         "entity_uuid",
         "set_name",
+        "part",
         F.size("members").cast("bigint").alias("n"),
         F.array_join("members", ",").alias("members"),
     )

@@ -332,11 +332,13 @@ def dangling_relations(spark, sf):
     "v14_conflict_log",
     with_parts(
         ["log", "writes"],
-        """SELECT sha256(f.entity_uuid || '|' || h.updated_by) AS conflict_id, f.entity_uuid, h.updated_by AS trigger,
-          first_type, findings, found, FALSE AS resolved FROM (SELECT entity_uuid, arg_min(conflict_type, rank) AS first_type,
-            count(*) AS findings, string_agg(code, ',' ORDER BY code) AS found FROM (SELECT *, conflict_type || ':' ||
-            coalesce(field, '-') AS code, list_position(['unknown_item_type', 'missing_required_field', 'unknown_field',
-            'field_type_mismatch', 'unknown_enum_value'], conflict_type) AS rank FROM findings) GROUP BY entity_uuid) f
+        """SELECT sha256(f.entity_uuid || '|' || h.updated_by || '|' || part) AS conflict_id, f.entity_uuid,
+          h.updated_by AS trigger, first_type, findings, part, found, FALSE AS resolved FROM (SELECT entity_uuid, part, first_type, findings, string_agg(code, ',' ORDER BY code)
+            AS found FROM (SELECT *, CAST((row_number() OVER (PARTITION BY entity_uuid ORDER BY code) - 1) // 10000 AS INTEGER)
+            AS part, arg_min(conflict_type, rank) OVER (PARTITION BY entity_uuid) AS first_type, count(*) OVER (PARTITION BY
+            entity_uuid) AS findings FROM (SELECT *, conflict_type || ':' || coalesce(field, '-') AS code,
+            list_position(['unknown_item_type', 'missing_required_field', 'unknown_field', 'field_type_mismatch',
+            'unknown_enum_value'], conflict_type) AS rank FROM findings)) GROUP BY entity_uuid, part, first_type, findings) f
         JOIN headers h ON h.entity_uuid = f.entity_uuid""",
         {**CHECK, "findings": ALL_FINDINGS},
     ),
@@ -349,7 +351,7 @@ def conflict_log(spark, sf):
     )
     rows = validate.conflict_log(found, items.select("entity_uuid", F.col("updated_by").alias("trigger")))
     return rows.select(
-        "conflict_id", "entity_uuid", "trigger", "first_type", "findings", F.array_join("found", ",").alias("found"), "resolved"
+        "conflict_id", "entity_uuid", "trigger", "first_type", "findings", "part", F.array_join("found", ",").alias("found"), "resolved"
     )
 
 

@@ -11,6 +11,7 @@ from eventfold.plans.adapters import (
     item_changes,
     item_log,
     padded,
+    parted,
     table,
     tag,
     talk_log,
@@ -238,8 +239,9 @@ DOCS = {
     "wide": "SELECT entity_uuid, "
     + ", ".join(f"max(CASE WHEN name = '{f}' THEN trim(written, '\"') END) AS {f}" for f in ITEM_FIELDS)
     + " FROM state WHERE written IS NOT NULL GROUP BY entity_uuid",
-    "labelled": """SELECT entity_uuid, string_agg(member, ',' ORDER BY member) AS labels FROM set_state
-      WHERE is_add AND set_name = 'labels' GROUP BY entity_uuid""",
+    "labelled": "SELECT entity_uuid, part, string_agg(member, ',' ORDER BY member) AS labels FROM "
+    + parted("set_state WHERE is_add AND set_name = 'labels'", "entity_uuid", "member")
+    + " GROUP BY entity_uuid, part",
 }
 
 
@@ -247,8 +249,8 @@ DOCS = {
     "s8_documents",
     with_parts(
         ["log", "writes"],
-        """SELECT h.project_uuid, h.entity_uuid, h.item_type AS type, h.state_key AS state, title, f0, f1, f2, f3, labels
-        FROM headers h LEFT JOIN wide w ON w.entity_uuid = h.entity_uuid LEFT JOIN labelled l ON l.entity_uuid = h.entity_uuid""",
+        """SELECT h.project_uuid, h.entity_uuid, h.item_type AS type, h.state_key AS state, title, f0, f1, f2, f3,
+          coalesce(part, 0) AS part, labels FROM headers h LEFT JOIN wide w ON w.entity_uuid = h.entity_uuid LEFT JOIN labelled l ON l.entity_uuid = h.entity_uuid""",
         DOCS,
     ),
 )
@@ -257,9 +259,9 @@ def item_documents(spark, sf):
     path = fresh_path(spark, "documents")
     exports.write_documents(exports.documents(label_view(item_log(spark, sf)), ITEM_FIELDS), path)
     back = spark.read.text(path)
-    schema = "entity_uuid string, type string, state string, title string, f0 string, f1 string, f2 string, f3 string, labels array<string>"
+    schema = "entity_uuid string, type string, state string, title string, f0 string, f1 string, f2 string, f3 string, part int, labels array<string>"
     rows = back.select("project_uuid", F.from_json("value", schema).alias("d")).select("project_uuid", "d.*")
-    return rows.withColumn("labels", F.array_join("labels", ","))
+    return rows.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("labels", F.array_join("labels", ","))
 
 
 DOC_TEXT = """SELECT h.entity_uuid, '{' || concat_ws(',', '"entity_uuid":"' || h.entity_uuid || '"',

@@ -13,7 +13,8 @@ def documents(view: DataFrame, fields: list[str]) -> DataFrame:
     """One JSON document per item part: header, fields, labels if any.
 
     ``view`` has the header columns, one column per field and ``labels``. Assignees
-    and execution events are not exported; NULL fields are left out.
+    and execution events are not exported; NULL fields are left out. Parts after the
+    first carry their number.
     """
     named = [f for f in fields if f not in HEADER_FIELDS]
     labels = F.when(F.size("labels") > 0, F.col("labels"))
@@ -23,6 +24,7 @@ def documents(view: DataFrame, fields: list[str]) -> DataFrame:
         F.col("item_type").alias("type"),
         F.col("state_key").alias("state"),
         *named,
+        F.when(F.col("part") > 0, F.col("part")).alias("part"),
         labels.alias("labels"),
     )
     return view.select(

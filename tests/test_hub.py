@@ -135,3 +135,22 @@ def test_offsets_go_on_after_compaction(spark):
     more = spark.createDataFrame([("c", 1, 0), ("a", 1, 1)], "event_uuid string, batch int, line int")
     got = {r.event_uuid: (r.hub_offset, r.duplicate) for r in hub.append(stored, more, ledger=ledger).collect()}
     assert stored.count() == 0 and got == {"c": (3, False), "a": (1, True)}
+
+
+def test_every_project_below_the_bound_needs_its_snapshot(spark):
+    log = spark.createDataFrame(
+        [("P1", 1), ("P2", 2), ("P1", 3), ("P3", 9)], "project_uuid string, hub_offset long"
+    )
+    mark = spark.createDataFrame([(9,)], "watermark long")
+    bounds = {"low": F.lit(1), "mid": F.lit(4), "top": F.lit(9), "none": F.lit(0)}
+
+    def decide(kept):
+        known = spark.createDataFrame(kept, "project_uuid string, through_offset long")
+        rows = snapshots.compaction_decisions(log, bounds, mark, known).collect()
+        return {r["request"]: (r["decision"], r["dropped"]) for r in rows}
+
+    assert decide([("P1", 5)]) == {
+        "none": ("compact", 0), "low": ("compact", 1), "mid": ("no_snapshot", 0), "top": ("no_snapshot", 0)
+    }
+    assert decide([("P1", 5), ("P2", 4)])["mid"] == ("compact", 3)
+    assert decide([("P1", 9), ("P2", 9)])["top"] == ("no_snapshot", 0)

@@ -59,7 +59,8 @@ def test_measures_match_one_by_one(spark, limit):
 
 def test_lists_are_bounded_and_whole(spark):
     df = spark.createDataFrame([("a", str(n)) for n in range(500)] + [("b", "x")], "k string, m string")
-    rows = skew.list_parts(df, ["k"], F.col("m"), "m", max_items=50).collect()
-    assert sorted(x for r in rows if r.k == "a" for x in r.m) == sorted(str(n) for n in range(500))
-    assert max(len(r.m) for r in rows) <= 60
-    assert [(r.part, r.parts, r.m) for r in rows if r.k == "b"] == [(0, 1, ["x"])]
+    for split in (None, 20):
+        rows = sorted(skew.list_parts(df, ["k"], F.col("m"), "m", 50, split).collect())
+        assert [x for r in rows if r.k == "a" for x in r.m] == sorted(str(n) for n in range(500))
+        assert [(r.part, len(r.m)) for r in rows if r.k == "a"] == [(p, 50) for p in range(10)]
+        assert [(r.part, r.m) for r in rows if r.k == "b"] == [(0, ["x"])]
