@@ -171,8 +171,11 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame
     classes = found.select(
         F.col("fp").alias("_fp"), F.col("component_id").alias("_component"), F.col("cluster").alias("_cluster")
     ).distinct()
+    # Null-safe, as a plain join would have the fingerprints tested for null, and so worked
+    # out for all rows, ahead of the semi join.
+    several = _with_fp(several, words)
     several = (
-        _with_fp(several, words).join(classes, "_fp")
+        several.join(classes, several["_fp"].eqNullSafe(classes["_fp"]))
         .where(F.col("doc_id").eqNullSafe(F.col("_component")))
         .dropDuplicates(["_cluster"])
     )
