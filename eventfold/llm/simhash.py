@@ -15,6 +15,7 @@ without a cross join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -160,8 +161,12 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame
     Where that id stands on several rows of the component, or the component has null ids
     only, any one of these rows stays. All columns are kept as they are.
     """
-    found = near_duplicates(docs, words, radius)
-    found = cut(found)
+    found = cut(near_duplicates(docs, words, radius))
+    return rows_of_least_ids(docs, found, lambda d: _with_fp(d, words))
+
+
+def rows_of_least_ids(docs: DataFrame, found: DataFrame, with_fp: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of ``docs`` for each ``cluster`` of ``found``; ``with_fp`` adds the ``fp`` of a row as ``_fp``."""
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     once = ids.where("n = 1 and doc_id = component_id").select("doc_id")
     again = ids.where("n > 1 or doc_id is null").select("doc_id")
@@ -173,7 +178,7 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame
     ).distinct()
     # Null-safe, as a plain join would have the fingerprints tested for null, and so worked
     # out for all rows, ahead of the semi join.
-    several = _with_fp(several, words)
+    several = with_fp(several)
     several = (
         several.join(classes, several["_fp"].eqNullSafe(classes["_fp"]))
         .where(F.col("doc_id").eqNullSafe(F.col("_component")))
