@@ -290,6 +290,8 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, crowd: int = CR
         "whole", F.col("whole").alias("cluster"), F.col("home").alias("first")
     )
     rows = found.select("doc_id", "row_key", "no", "start", "end", "words", "whole").join(near.unionByName(same), "whole")
+    # Equal rows of a document are one; the window then needs no other exchange.
+    rows = rows.repartition("doc_id", "row_key").dropDuplicates(["doc_id", "row_key", "no"])
     in_doc = Window.partitionBy("doc_id", "row_key").orderBy("no")
     runs = rows.withColumn("run", F.col("no") - F.row_number().over(in_doc))
     passages = runs.groupBy("doc_id", "row_key", "run").agg(
