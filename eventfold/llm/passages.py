@@ -116,10 +116,21 @@ class Cuts:
         return sorted(found)
 
 
+def with_neighbours(whole: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and hashes of paragraphs, where short ones are hashed with a neighbour."""
+    n = len(whole)
+    pair = whole[:-1] * _BANDS[1] + whole[1:]
+    long, second, first = np.flatnonzero(~short), np.flatnonzero(short[1:]) + 1, np.flatnonzero(short[: n - 1])
+    hashes = whole[long], _mix(pair[second - 1] + _BANDS[0]), _mix(pair[first] + _BANDS[2])
+    return np.concatenate((long, second, first)), np.concatenate(hashes)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, no, start, end, words, whole, bands...)`` of at least five words.
+    """``(doc_id, row_key, no, start, end, words, whole, bands...)`` of every paragraph.
 
     ``start`` and ``end`` are in code points. Null and empty texts have no paragraph.
+    Under five words repeat by chance, so a short paragraph counts together with the one
+    before and with the one after it: one row for each, with the words of both in ``whole``.
     """
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -133,17 +144,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 if not cuts.n:
                     continue
                 sizes = cuts.lasts - cuts.firsts
-                some = np.flatnonzero(sizes >= MIN_WORDS)
+                whole = cuts.whole()
+                some, whole = with_neighbours(whole, sizes < MIN_WORDS)
                 begin, end = cuts.begins[cuts.firsts[some]], cuts.ends[cuts.lasts[some] - 1]
                 if not text.isascii():
                     signs = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
                     begin, end = signs[begin], signs[end]
-                whole, bands = cuts.whole(), cuts.bands()
+                bands = cuts.bands()
                 take.append(np.full(len(some), i))
                 # Short paragraphs are alike only when equal; no band is looked up for them.
                 banded = sizes[some] >= SHINGLE + MIN_SHINGLES - 1
                 bands = [np.where(banded, x[some], np.uint64(0)) for x in bands]
-                for column, value in zip(parts, (some, begin, end, sizes[some], whole[some], *bands), strict=True):
+                for column, value in zip(parts, (some, begin, end, sizes[some], whole, *bands), strict=True):
                     column.append(value)
             if not take:
                 continue
@@ -290,8 +302,12 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, crowd: int = CR
         "whole", F.col("whole").alias("cluster"), F.col("home").alias("first")
     )
     rows = found.select("doc_id", "row_key", "no", "start", "end", "words", "whole").join(near.unionByName(same), "whole")
-    # Equal rows of a document are one; the window then needs no other exchange.
-    rows = rows.repartition("doc_id", "row_key").dropDuplicates(["doc_id", "row_key", "no"])
+    # Equal rows of a document are one, and so are the rows of a short paragraph; the window
+    # then needs no other exchange.
+    rows = (
+        rows.repartition("doc_id", "row_key").groupBy("doc_id", "row_key", "no", "start", "end", "words")
+        .agg(F.min(F.struct("first", "cluster")).alias("least")).select("*", "least.first", "least.cluster")
+    )
     in_doc = Window.partitionBy("doc_id", "row_key").orderBy("no")
     runs = rows.withColumn("run", F.col("no") - F.row_number().over(in_doc))
     passages = runs.groupBy("doc_id", "row_key", "run").agg(

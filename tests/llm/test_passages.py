@@ -20,3 +20,22 @@ def test_repeated_rows_are_one_document(make, times):
     want = found(make, *one)
     assert {r[0] for r in want} == {0, 1}
     assert found(make, *[t for t in one for _ in range(times)]) == want
+
+
+def test_short_pieces_are_part_of_a_run(make):
+    r = random.Random(3)
+    verse = "\n".join(prose(r.randint(1, 4), 500 + i) for i in range(30))
+    mixed = "\n".join(prose(n, 600 + i) for i, n in enumerate((9, 2, 9, 3, 1, 8)))
+    for i, shared in enumerate((verse, mixed)):
+        texts = [prose(60, 10 * i) + "\n" + shared + "\n" + prose(50, 10 * i + 1), prose(70, 10 * i + 2) + "\n" + shared]
+        want = [(d, t.index(shared), t.index(shared) + len(shared), len(shared.split()), 0, d > 0) for d, t in enumerate(texts)]
+        assert found(make, *texts) == want
+
+
+def test_chance_words_are_no_passage(make):
+    lines = ["a b", "c", "d e f", "g h", "i", "j k l m"]
+    texts = []
+    for i in range(6):
+        r = random.Random(i)
+        texts.append("\n".join(f"{x} own{i}x{k}" if r.random() < 0.5 else f"{x}\nown{i}y{k} own" for k, x in enumerate(lines * 3)))
+    assert found(make, *texts) == []
