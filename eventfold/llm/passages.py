@@ -1,175 +1,161 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-Paragraphs are the lines of a text, and long lines are cut further at places that depend
-on the words around them alone (a word whose hash is the least within a few words on both
-sides). A passage that was copied into the middle of another paragraph is therefore cut
-the same way there, but for its ends.
-
-Equal paragraphs are one candidate. Three one-row bands of MinHash over five-word shingles
-bring different ones together: at a likeness of 0.8 a pair shares a band with a chance of
-1 - 0.2 ** 3 = 99 %. Colliding pairs are joined and verified by exact Jaccard likeness, and
-connected components of the verified pairs are the clusters.
-
-A band value shared by a crowd isn't expanded into pairs. Paragraphs have at most
-``MAX_WORDS`` words, so two that are alike differ by a few shingles from what they have in
-common: each member of the crowd writes the sums of its shingle hashes with up to so many
-left out, and members that meet at a sum are linked to the one with the fewest shingles.
-This finds all connections of the crowd with rows in proportion to its members.
+Paragraphs are the lines of a text. Lines of eight words or more that are alike at 0.8 are
+linked (see ``alike``), and connected components of the verified links are the clusters.
+
+For passages inside of longer lines, lines are cut further into pieces, at places that
+depend on the words around them alone (a word whose hash is the least within a few words
+on both sides). A passage that was copied into the middle of another line is therefore cut
+the same way there, but for its ends. Equal pieces are one cluster.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import WordCache, texts
+from eventfold.llm import alike
+from eventfold.llm.alike import CROWD, SHINGLE, mix
+from eventfold.llm.common import texts
 from eventfold.operators.loops import components, cut
 
-REACH, MIN_WORDS, MAX_WORDS, SHINGLE, ALIKE, CROWD = 5, 5, 16, 5, 0.8, 16
+REACH, MIN_WORDS, MAX_WORDS = 5, 5, 16
 #: A passage is reported when so many of its words in a row repeat.
 PASSAGE_WORDS = 20
 #: Fewer shingles can't be alike without being equal: 3 of 4 are less than 0.8.
 MIN_SHINGLES = 4
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_BANDS = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
-_hash = None
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MULTIPLIER
-    return x ^ (x >> np.uint64(29))
-
-
-def _word_hashes() -> WordCache:
-    global _hash
-    if _hash is None:
-        import xxhash
-
-        _hash = WordCache(lambda w: xxhash.xxh64_intdigest(w, 5))
-    return _hash
+_SALTS = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 class Cuts:
-    """The paragraphs of one text: words, shingles and where paragraphs begin and end."""
+    """The words of one text, its paragraphs (lines) and their pieces.
+
+    ``firsts`` and ``lasts`` are word numbers of paragraphs, ``pieces`` the first words of pieces.
+    """
 
     def __init__(self, text: bytes):
-        known = _word_hashes()
         octets = np.frombuffer(text, np.uint8)
         blank = np.concatenate(([True], (octets == 32) | ((octets >= 9) & (octets <= 13)), [True]))
         change = np.flatnonzero(blank[1:] != blank[:-1])
         self.begins, self.ends = change[::2], change[1::2]
         n = self.n = len(self.begins)
-        self.firsts = self.lasts = np.empty(0, np.int64)
+        self.firsts = self.lasts = self.pieces = np.empty(0, np.int64)
         if not n:
             return
-        self.hashes = np.fromiter([known[w] for w in text.lower().split()], np.uint64, n)
+        self.hashes = alike.word_hashes(text)
         line = np.cumsum(octets == 10)[self.begins]
-        rank = _mix(self.hashes)
+        new = np.append(True, line[1:] != line[:-1])
+        self.firsts = np.flatnonzero(new)
+        self.lasts = np.append(self.firsts[1:], n)
+        rank = mix(self.hashes)
         least = np.ones(n, bool)
         for d in range(1, REACH + 1):
             least[d:] &= rank[d:] < rank[:-d]
             least[:-d] &= rank[:-d] <= rank[d:]
-        least[1:] |= line[1:] != line[:-1]
-        least[0] = True
-        firsts = np.flatnonzero(least)
-        sizes = np.diff(np.append(firsts, n))
-        times = -(-sizes // MAX_WORDS)  # longer ones in parts of the most words
-        which = np.repeat(np.arange(len(firsts)), times)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        self.firsts = firsts[which] + within * MAX_WORDS
-        self.lasts = np.append(self.firsts[1:], n)
-        shingles = np.full(n, _MOST)
-        if n >= SHINGLE:
-            value = np.zeros(n - SHINGLE + 1, np.uint64)
-            for k in range(SHINGLE):
-                value = value * _MULTIPLIER + self.hashes[k : n - SHINGLE + 1 + k]
-            shingles[: n - SHINGLE + 1] = _mix(value)
-        room = np.repeat(self.lasts, self.lasts - self.firsts) - np.arange(n)
-        shingles[room < SHINGLE] = _MOST  # of no paragraph
-        self.shingles = shingles
-
-    def whole(self) -> np.ndarray:
-        """A hash of each paragraph's words in order."""
-        at = np.arange(self.n, dtype=np.uint64) - np.repeat(self.firsts, self.lasts - self.firsts).astype(np.uint64)
-        return np.add.reduceat(_mix(self.hashes + at * _BANDS[0]), self.firsts)
-
-    def bands(self) -> list[np.ndarray]:
-        """The MinHash values of each paragraph."""
-        empty = self.shingles == _MOST
-        bands = []
-        for c in _BANDS:
-            value = _mix(self.shingles * c)
-            value[empty] = _MOST
-            bands.append(np.minimum.reduceat(value, self.firsts))
-        return bands
+        firsts = np.flatnonzero(least | new)
+        times = -(-np.diff(np.append(firsts, n)) // MAX_WORDS)  # longer ones in parts of the most words
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        self.pieces = np.repeat(firsts, times) + within * MAX_WORDS
+        self.shingles = alike.shingles(self.hashes) if n >= SHINGLE else np.empty(0, np.uint64)
+
+    def whole(self, firsts: np.ndarray | None = None) -> np.ndarray:
+        """A hash of the words in order of each paragraph, or of each part that begins at ``firsts``."""
+        firsts = self.firsts if firsts is None else firsts
+        at = np.arange(self.n, dtype=np.uint64) - np.repeat(firsts, np.diff(np.append(firsts, self.n))).astype(np.uint64)
+        return np.add.reduceat(mix(self.hashes + at * _SALTS[0]), firsts)
+
+    def sketches(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Set sizes and band keys of the paragraphs ``some``, each of five words at least."""
+        counts = self.lasts[some] - self.firsts[some] - SHINGLE + 1
+        starts = np.cumsum(counts) - counts
+        of = np.repeat(np.arange(len(some)), counts)
+        values = self.shingles[np.arange(counts.sum()) - starts[of] + self.firsts[some][of]]
+        order = np.lexsort((values, of))
+        same = (values[order][1:] == values[order][:-1]) & (of[1:] == of[:-1])
+        return np.add.reduceat(np.append(True, ~same).astype(np.int64), starts), alike.band_keys(values, starts)
 
     def shingle_set(self, no: int) -> list[int]:
         """The shingles of a paragraph as a sorted set of signed numbers."""
-        found = set(self.shingles[self.firsts[no] : self.lasts[no]].view(np.int64).tolist())
-        found.discard(-1)  # of no paragraph
-        return sorted(found)
+        end = max(self.firsts[no], self.lasts[no] - SHINGLE + 1)
+        return sorted(set(self.shingles[self.firsts[no] : end].view(np.int64).tolist()))
 
 
 def with_neighbours(whole: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and hashes of paragraphs, where short ones are hashed with a neighbour."""
+    """Numbers and hashes of pieces, where short ones are hashed with a neighbour."""
     n = len(whole)
-    pair = whole[:-1] * _BANDS[1] + whole[1:]
+    pair = whole[:-1] * _SALTS[1] + whole[1:]
     long, second, first = np.flatnonzero(~short), np.flatnonzero(short[1:]) + 1, np.flatnonzero(short[: n - 1])
-    hashes = whole[long], _mix(pair[second - 1] + _BANDS[0]), _mix(pair[first] + _BANDS[2])
+    hashes = whole[long], mix(pair[second - 1] + _SALTS[0]), mix(pair[first] + _SALTS[2])
     return np.concatenate((long, second, first)), np.concatenate(hashes)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, no, start, end, words, whole, bands...)`` of every paragraph.
+def pieces_and_paragraphs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row_key, no, start, end, words, whole, line, n, bands)``, from one reading.
 
-    ``start`` and ``end`` are in code points. Null and empty texts have no paragraph.
-    Under five words repeat by chance, so a short paragraph counts together with the one
-    before and with the one after it: one row for each, with the words of both in ``whole``.
+    ``start`` and ``end`` are in code points. Null and empty texts have no row. Pieces have
+    the hash of their paragraph as ``line``, and no ``bands``; every piece has a row of its
+    own, also where its paragraph has just this piece. Pieces under five words repeat by
+    chance, so a short one counts together with the one before and with the one after it:
+    one row for each, with the words of both in ``whole``. Paragraphs have rows with set
+    size ``n`` and ``bands`` where they can be alike without being equal.
     """
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "row_key", "no", "start", "end", "words", "whole", "b0", "b1", "b2"]
+    names = ["doc_id", "row_key", "no", "start", "end", "words", "whole", "line", "n", "bands"]
 
     def run(batches):
         for b in batches:
-            take, parts = [], [[] for _ in names[2:]]
+            take, parts, bands = [], [[] for _ in names[2:-1]], []
             for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 cuts = Cuts(text)
                 if not cuts.n:
                     continue
-                sizes = cuts.lasts - cuts.firsts
-                whole = cuts.whole()
-                some, whole = with_neighbours(whole, sizes < MIN_WORDS)
-                begin, end = cuts.begins[cuts.firsts[some]], cuts.ends[cuts.lasts[some] - 1]
+                signs = None
                 if not text.isascii():
                     signs = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-                    begin, end = signs[begin], signs[end]
-                bands = cuts.bands()
-                take.append(np.full(len(some), i))
-                # Short paragraphs are alike only when equal; no band is looked up for them.
-                banded = sizes[some] >= SHINGLE + MIN_SHINGLES - 1
-                bands = [np.where(banded, x[some], np.uint64(0)) for x in bands]
-                for column, value in zip(parts, (some, begin, end, sizes[some], whole, *bands), strict=True):
-                    column.append(value)
+
+                def add(no, firsts, lasts, whole, line, n):
+                    begin, end = cuts.begins[firsts], cuts.ends[lasts - 1]
+                    if signs is not None:
+                        begin, end = signs[begin], signs[end]
+                    take.append(np.full(len(no), i))
+                    for column, value in zip(parts, (no, begin, end, lasts - firsts, whole, line, n), strict=True):
+                        column.append(value)
+
+                firsts, lasts = cuts.pieces, np.append(cuts.pieces[1:], cuts.n)
+                whole = cuts.whole()
+                some, own = with_neighbours(cuts.whole(firsts), lasts - firsts < MIN_WORDS)
+                of = np.searchsorted(cuts.firsts, firsts[some], "right") - 1
+                add(some, firsts[some], lasts[some], own, whole[of], np.zeros(len(some), np.int64))
+                bands += [None] * len(some)
+                some = np.flatnonzero(cuts.lasts - cuts.firsts >= SHINGLE + MIN_SHINGLES - 1)
+                if len(some):
+                    n, keys = cuts.sketches(some)
+                    add(some, cuts.firsts[some], cuts.lasts[some], whole[some], whole[some], n)
+                    bands += list(keys.view(np.int64))
             if not take:
                 continue
             at = pa.array(np.concatenate(take), pa.int32())
             columns = [np.concatenate(p) for p in parts]
             small = [pa.array(c.astype(np.int32)) for c in columns[:4]]
-            large = [pa.array(c.view(np.int64)) for c in columns[4:]]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *small, *large], names)
+            large = [pa.array(c.view(np.int64)) for c in columns[4:6]]
+            last = [pa.array(columns[6].astype(np.int32)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *small, *large, *last], names)
 
     return rows.mapInArrow(
-        run, f"doc_id {kind}, row_key long, no int, start int, end int, words int, whole long, b0 long, b1 long, b2 long"
+        run,
+        f"doc_id {kind}, row_key long, no int, start int, end int, words int, whole long, line long, n int, bands array<long>",
     )
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """The rows of paragraphs that can be alike without being equal."""
+    return pieces_and_paragraphs(docs).where(F.col("bands").isNotNull())
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(whole, shingles)`` of the paragraphs ``wanted``: ``(doc_id, wholes)``."""
 
@@ -189,121 +175,45 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts(docs).join(wanted, "doc_id").select("text", "wholes").mapInArrow(run, "whole long, shingles array<long>")
 
 
-def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame | None:
+def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame:
     """Links ``(a, b)`` of different paragraphs that are alike, complete up to connection."""
-    bands = distinct.where(F.col("words") >= SHINGLE + MIN_SHINGLES - 1).select(
-        F.explode(F.array(*[F.xxhash64(F.lit(i), f"b{i}") for i in range(3)])).alias("key"), "whole", "home"
-    )
-    met = cut(
-        bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("whole", "home")).alias("x"), F.max(F.struct("whole", "home")).alias("y"))
-        .where("n > 1")
-    )
-    pairs = met.where("n = 2").select(F.col("x.whole").alias("a"), F.col("y.whole").alias("b"))
-    more = cut(bands.join(met.where("n > 2").select("key", "n"), "key"))
-    few = more.where(F.col("n") <= crowd)
-    pairs = pairs.unionByName(
-        few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.whole") < F.col("r.whole")))
-        .select(F.col("l.whole").alias("a"), F.col("r.whole").alias("b"))
-    )
-    pairs = cut(pairs.distinct())
-    many = cut(more.where(F.col("n") > crowd).select("whole").distinct())
-    # Shingles of each paragraph that met another, read again from one document that has it.
-    two = met.where("n = 2").select(F.explode(F.array("x", "y")).alias("p")).select("p.home", "p.whole")
-    wanted = two.unionByName(more.select("home", "whole")).groupBy(F.col("home").alias("doc_id"))
-    found = shingle_sets(docs, wanted.agg(F.collect_set("whole").alias("wholes")))
-    sets = cut(found.dropDuplicates(["whole"]))
-    a = sets.select(F.col("whole").alias("a"), F.col("shingles").alias("_a"))
-    b = sets.select(F.col("whole").alias("b"), F.col("shingles").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    alike = both * 10 >= (F.size("_a") + F.size("_b") - both) * round(10 * ALIKE)
-    close = pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
-    return close.unionByName(_by_sums(sets.join(many, "whole", "left_semi")))
-
-
-def left_out(n: int) -> np.ndarray:
-    """The choices of shingles that a set of ``n`` may have beyond those of one alike.
-
-    One row for each choice, with ones where a shingle is left out.
-    """
-    most = n - -(-n * round(10 * ALIKE) // 10)
-    chosen = [c for k in range(most + 1) for c in combinations(range(n), k)]
-    out = np.zeros((len(chosen), n), np.uint64)
-    for row, c in zip(out, chosen, strict=True):
-        row[list(c)] = 1
-    return out
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        # Read again from one document that has the paragraph.
+        homes = distinct.join(wanted, "whole", "left_semi").groupBy(F.col("home").alias("doc_id"))
+        return shingle_sets(docs, homes.agg(F.collect_set("whole").alias("wholes"))).dropDuplicates(["whole"])
 
-def _by_sums(sets: DataFrame) -> DataFrame:
-    """Links of paragraphs that have most shingles in common, without pairs.
-
-    Sets ``A`` and ``B`` are alike when what they share, ``s`` shingles, is enough for
-    both: ``|A| + |B| <= 2.25 s``. All sets that contain the same ``s`` shingles meet at
-    their sum, and any of them that is alike to another there is alike to the smallest.
-    """
-
-    def run(batches):
-        choices = {}
-        for b in batches:
-            sums, kept, times = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], []
-            members = b.column("shingles").to_pylist()
-            for s in members:
-                n = len(s)
-                if n not in choices:
-                    out = left_out(n)
-                    choices[n] = out, (n - out.sum(1)).astype(np.int32)
-                rest, count = choices[n]
-                values = np.array(s, np.int64).view(np.uint64)
-                sums.append(values.sum(dtype=np.uint64) - rest @ values)
-                kept.append(count)
-                times.append(len(count))
-            sizes = [len(s) for s in members]
-            times = np.array(times, np.int64)
-            columns = [
-                pa.array(np.repeat(b.column("whole").to_numpy(zero_copy_only=False), times)),
-                pa.array(np.concatenate(sums).view(np.int64)),
-                pa.array(np.concatenate(kept)),
-                pa.array(np.repeat(np.array(sizes, np.int32), times)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["whole", "sum", "shared", "n"])
-
-    rows = sets.mapInArrow(run, "whole long, sum long, shared int, n int")
-    least = rows.groupBy("sum", "shared").agg(F.min(F.struct("n", "whole")).alias("least"), F.count("*").alias("met")).where("met > 1")
-    return (
-        rows.join(least, ["sum", "shared"])
-        .where((F.col("whole") != F.col("least.whole")) & ((F.col("n") + F.col("least.n")) * 8 <= F.col("shared") * 18))
-        .select(F.col("least.whole").alias("a"), F.col("whole").alias("b"))
-    )
+    return alike.links(distinct.select("whole", "n", "bands"), sets_of, crowd)
 
 
 def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, crowd: int = CROWD) -> DataFrame:
     """Passages that stand in two documents or more, one row for each place.
 
     ``(doc_id, start, end, n_words, clusters, first_doc, removed)``: ``clusters`` are the
-    ids of the paragraphs' clusters in order, ``first_doc`` the least id of a document that
+    ids of the clusters of its pieces in order (of a piece's paragraph or of equal pieces,
+    which of them came first), ``first_doc`` the least id of a document that
     has the first of them, and ``removed`` tells whether a document with a lower id keeps
-    all of the passage's paragraphs. Shorter runs of repeated paragraphs are ordinary
+    all of the passage's pieces. Shorter runs of repeated pieces are ordinary
     lines and are left alone. Repeats within one document don't count. Null and empty
     texts have no passage; documents without an id are left out; rows of one id are one
     document; other columns are ignored.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found = cut(paragraphs(docs))
-    distinct = cut(
-        found.groupBy("whole").agg(
-            F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.min("words").alias("words"),
-            *[F.min(f"b{i}").alias(f"b{i}") for i in range(3)],
-        )
-    )
+    found = cut(pieces_and_paragraphs(docs))
+    homes = [F.min("doc_id").alias("home"), F.max("doc_id").alias("last")]
+    lines = found.where(F.col("bands").isNotNull()).groupBy("whole")
+    distinct = cut(lines.agg(*homes, F.first("n").alias("n"), F.first("bands").alias("bands")))
     named = components(_links(docs, distinct, crowd)).withColumnRenamed("id", "whole")
     near = cut(distinct.select("whole", "home", "last").join(named, "whole"))
     spread = near.groupBy("cluster").agg(F.min("home").alias("first"), F.max("last").alias("last"))
-    near = near.select("whole", "cluster").join(spread.where("first < last"), "cluster").select("whole", "cluster", "first")
-    same = distinct.join(named.select("whole"), "whole", "left_anti").where("home < last").select(
+    near = near.join(spread.where("first < last").drop("last"), "cluster").select(F.col("whole").alias("line"), "cluster", "first")
+    pieces = found.where(F.col("bands").isNull()).select("doc_id", "row_key", "no", "start", "end", "words", "whole", "line")
+    same = pieces.groupBy("whole").agg(*homes).where("home < last").select(
         "whole", F.col("whole").alias("cluster"), F.col("home").alias("first")
     )
-    rows = found.select("doc_id", "row_key", "no", "start", "end", "words", "whole").join(near.unionByName(same), "whole")
-    # Equal rows of a document are one, and so are the rows of a short paragraph; the window
-    # then needs no other exchange.
+    rows = pieces.join(same, "whole").drop("whole", "line").unionByName(pieces.join(near, "line").drop("whole", "line"))
+    # Equal rows of a document are one, and so are the rows of a piece; the window then needs
+    # no other exchange.
     rows = (
         rows.repartition("doc_id", "row_key").groupBy("doc_id", "row_key", "no", "start", "end", "words")
         .agg(F.min(F.struct("first", "cluster")).alias("least")).select("*", "least.first", "least.cluster")

@@ -39,3 +39,44 @@ def test_chance_words_are_no_passage(make):
         r = random.Random(i)
         texts.append("\n".join(f"{x} own{i}x{k}" if r.random() < 0.5 else f"{x}\nown{i}y{k} own" for k, x in enumerate(lines * 3)))
     assert found(make, *texts) == []
+
+
+def edited(text, at):
+    words = text.split()
+    for i in at:
+        words[i] = f"new{i}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_classes_of_links_are_those_of_all_near_pairs(make, spark, crowd):
+    texts = [edited(prose(100, i % 3), [5 * i % 40 + k for k in (0, 20, 40)][: i % 4]) for i in range(24)]
+    chain = prose(60, 9)
+    for i in range(8):  # ends of the chain aren't near
+        texts.append(chain)
+        chain = edited(chain, [6 * i + 3])
+    docs = make(*texts)
+    rows = passages.paragraphs(docs).withColumnRenamed("doc_id", "home").dropDuplicates(["whole"])
+    links = {(r.a, r.b) for r in passages._links(docs, rows, crowd).collect()}
+    sets = {}
+    for t in texts:
+        cuts = passages.Cuts(t.encode())
+        sets[int(cuts.whole().view("i8")[0])] = set(cuts.shingle_set(0))
+    near = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert {tuple(sorted(x)) for x in links} <= near and near
+
+    def classes(pairs):
+        names = {x: x for x in sets}
+        for a, b in pairs:
+            low = min(names[a], names[b])
+            names = {x: low if n in (names[a], names[b]) else n for x, n in names.items()}
+        return names
+
+    assert classes(links) == classes(near)
+
+
+def test_near_paragraphs_are_found_whole(make):
+    base = prose(100, 40)
+    texts = [base + "\n" + prose(30, 1), prose(30, 2) + "\n" + edited(base, (30, 70))]
+    want = [(0, 0, len(base), 100, 0, False), (1, texts[1].index("\n") + 1, len(texts[1]), 100, 0, True)]
+    assert found(make, *texts) == want
