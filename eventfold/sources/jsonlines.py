@@ -45,8 +45,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_lines(lines: DataFrame, column: str = "line_text") -> DataFrame:
-    """Adds ``e`` (the envelope) and ``status``: ``good``, ``blank``, ``malformed`` or
-    ``unknown_kind``.
+    """Adds ``e`` (the envelope) and ``status``: ``good``, ``blank``, or what is bad, that is
+    ``malformed``, ``unknown_kind`` or a problem of ``check_stamps``.
 
     A line must be one JSON value and nothing else. JSON readers stop after the first
     value, so the line is read inside an array (two values, or text after the first,
@@ -70,7 +70,7 @@ def decode_lines(lines: DataFrame, column: str = "line_text") -> DataFrame:
         F.when(F.col("__blank"), F.lit("blank"))
         .when(F.coalesce(~F.col("__whole") | (F.size("__list") != 1) | ~complete | ~version, F.lit(True)), F.lit("malformed"))
         .when(~event["kind"].isin(*ALL_KINDS), F.lit("unknown_kind"))
-        .otherwise(F.lit("good"))
+        .otherwise(F.coalesce(stamp_problem(parse_hlc(event["hlc"]), event), F.lit("good")))
     )
     return parsed.select(*lines.columns, event.alias("e"), status.alias("status"))
 
@@ -79,32 +79,39 @@ def _typed(ddl: str) -> str:
     return ", ".join(":".join(part.split(" ", 1)) for part in ddl.split(", "))
 
 
+def is_bad() -> Column:
+    return ~F.col("status").isin("good", "blank")
+
+
 def split_good_bad(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Envelopes, and the bad-record table. Blank lines are in neither."""
     good = decoded.where(F.col("status") == "good").select("e.*")
-    bad = decoded.where(F.col("status").isin("malformed", "unknown_kind")).drop("e")
+    bad = decoded.where(is_bad()).drop("e")
     return good, bad
 
 
 def cut_batches(decoded: DataFrame) -> DataFrame:
     """Good rows of each batch before its first bad line; later ones do not commit."""
-    bad = F.col("status").isin("malformed", "unknown_kind")
-    rows = before_first_bad(decoded, bad)
+    rows = before_first_bad(decoded, is_bad())
     stands = F.col("first_bad").isNull() | (F.col("line") < F.col("first_bad"))
     return rows.where(stands & (F.col("status") == "good")).drop("first_bad")
 
 
 def check_stamps(log: DataFrame) -> DataFrame:
     """Adds the parsed clock as ``stamp`` and ``problem``, NULL when all ids parse."""
-    problem = (
-        F.when(F.col("stamp").isNull(), F.lit("bad_hlc"))
-        .when(~is_ulid(F.col("event_uuid")), F.lit("bad_event_id"))
-        .when(~is_actor(F.col("actor")), F.lit("bad_actor"))
-        .when(~stream_ok(F.col("stream_id")), F.lit("bad_stream"))
-    )
+    problem = stamp_problem(F.col("stamp"), {c: F.col(c) for c in ("event_uuid", "actor", "stream_id")})
     return log.withColumn("stamp", parse_hlc(F.col("hlc"))).withColumn("problem", problem)
 
 
+def stamp_problem(stamp: Column, event) -> Column:
+    return (
+        F.when(stamp.isNull(), F.lit("bad_hlc"))
+        .when(~is_ulid(event["event_uuid"]), F.lit("bad_event_id"))
+        .when(~is_actor(event["actor"]), F.lit("bad_actor"))
+        .when(~stream_ok(event["stream_id"]), F.lit("bad_stream"))
+    )
+
+
 def stream_ok(text: Column) -> Column:
     """``schema``, ``project`` or ``node|item|relation:<id>``."""
     return text.isin("schema", "project") | (
@@ -148,9 +155,8 @@ def raw_value(payload: Column) -> Column:
 
 
 def flat_log(envelopes: DataFrame) -> DataFrame:
-    """Decoded envelopes as the log the operators take: clock fields and payload."""
-    good = check_stamps(envelopes).where(F.col("problem").isNull())
-    flat = good.select(
+    """Good envelopes as the log the operators take: clock fields and payload, row by row."""
+    flat = envelopes.withColumn("stamp", parse_hlc(F.col("hlc"))).select(
         "event_uuid",
         "workspace_uuid",
         "project_uuid",

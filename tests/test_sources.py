@@ -53,6 +53,16 @@ def test_every_kind_of_bad_line(spark):
     assert got == ["good"] + ["malformed"] * 6 + ["blank", "unknown_kind"] + ["malformed"] * 4
 
 
+def test_every_line_is_good_bad_or_blank(spark):
+    wrong = {"hlc": "2026-13-01T00:00:00Z/x/1", "event_uuid": "no-id", "actor": "nobody", "stream_id": "item:7"}
+    rows = decoded(spark, [json.dumps(EVENT), " ", *[json.dumps({**EVENT, k: v}) for k, v in wrong.items()]])
+    good, bad = jsonlines.split_good_bad(rows)
+    assert sorted(r.status for r in bad.collect()) == ["bad_actor", "bad_event_id", "bad_hlc", "bad_stream"]
+    assert jsonlines.flat_log(good).count() == good.count() == 1
+    later = decoded(spark, [json.dumps({**EVENT, "hlc": wrong["hlc"]}), json.dumps(EVENT)])
+    assert jsonlines.cut_batches(later).count() == 0
+
+
 def test_nothing_after_the_first_bad_line(spark):
     line = lambda n: json.dumps({**EVENT, "stream_seq": n})
     rows = decoded(spark, [line(0), "", line(2), "{", line(4)])
