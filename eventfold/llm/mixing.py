@@ -180,7 +180,7 @@ def taken(placed: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def mixed_texts(docs: DataFrame, **kw) -> DataFrame:
+def mixed_texts(docs: DataFrame, cap: int = CAP, **kw) -> DataFrame:
     """``docs`` as the mix has them: every text holds the words taken, pass after pass.
 
     Documents of which no word is taken are left out: that is how a source above its
@@ -188,7 +188,7 @@ def mixed_texts(docs: DataFrame, **kw) -> DataFrame:
     line end. Rows are told apart by id, text and source; equal rows share their pieces.
     ``n_chars`` is counted again where there is such a column.
     """
-    placed, documents = mix(docs, **kw)
+    placed, documents = mix(docs, cap=cap, **kw)
     spans = placed.groupBy("ix", "at").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "length"))).alias("spans"))
     keyed = (
         spans.join(documents.select("ix", "at", "doc_id", "row_key"), ["ix", "at"])
@@ -206,7 +206,7 @@ def mixed_texts(docs: DataFrame, **kw) -> DataFrame:
         return F.array_join(parts, "")
 
     passes = F.col("_spans.pass")
-    text = F.concat_ws("\n", *[F.when(F.array_contains(passes, F.lit(p).cast("long")), of(p)) for p in range(CAP)])
+    text = F.concat_ws("\n", *[F.when(F.array_contains(passes, F.lit(p).cast("long")), of(p)) for p in range(cap)])
     out = met.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
