@@ -75,7 +75,8 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], crowd: in
     ``sets_of`` takes ids as ``whole`` and gives ``(whole, shingles)``, one row each.
     """
     rows = nodes.select("whole", "n", F.explode("bands").alias("key"))
-    met = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # Written, so that its size is known and a small one needs no exchange of all rows.
+    met = cut(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     rows = cut(rows.join(met, "key"))
     sets = cut(sets_of(rows.select("whole").distinct()))
     a = sets.select(F.col("whole").alias("a"), F.col("shingles").alias("_a"))

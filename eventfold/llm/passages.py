@@ -206,10 +206,12 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, crowd: int = CR
     named = components(_links(docs, distinct, crowd)).withColumnRenamed("id", "whole")
     near = cut(distinct.select("whole", "home", "last").join(named, "whole"))
     spread = near.groupBy("cluster").agg(F.min("home").alias("first"), F.max("last").alias("last"))
-    near = near.join(spread.where("first < last").drop("last"), "cluster").select(F.col("whole").alias("line"), "cluster", "first")
+    near = cut(near.join(spread.where("first < last").drop("last"), "cluster").select(F.col("whole").alias("line"), "cluster", "first"))
     pieces = found.where(F.col("bands").isNull()).select("doc_id", "row_key", "no", "start", "end", "words", "whole", "line")
-    same = pieces.groupBy("whole").agg(*homes).where("home < last").select(
-        "whole", F.col("whole").alias("cluster"), F.col("home").alias("first")
+    same = cut(
+        pieces.groupBy("whole").agg(*homes).where("home < last").select(
+            "whole", F.col("whole").alias("cluster"), F.col("home").alias("first")
+        )
     )
     rows = pieces.join(same, "whole").drop("whole", "line").unionByName(pieces.join(near, "line").drop("whole", "line"))
     # Equal rows of a document are one, and so are the rows of a piece; the window then needs
