@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm import lines, mixing, packing, passages, quality, secrets, simhash, spotsigs, toxicity, wordpiece
+from eventfold.llm import (
+    divergence, infill, lines, mixing, packing, passages, quality, secrets, simhash, spotsigs, topk, toxicity, wordpiece,
+)
 from eventfold.llm.common import held_out, table
-from eventfold.llm.sql import LINES_SQL
+from eventfold.llm.sql import DIVERGENCE_SQL, INFILL_SQL, LINES_SQL, TOPK_SQL
 from eventfold.session import prepare
 
 
@@ -66,6 +68,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(prepare(spark), sf_dir, "documents"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(prepare(spark), sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_line_rules, op3_mixing, op4_toxicity, op5_spotsigs, op6_quality, op7_wordpiece,
-        op8_packing, op9_passages, op10_secrets, pipeline,
+        op8_packing, op9_passages, op10_secrets, op11_divergence, op12_topk, op13_infill, pipeline,
     )
 }
-ORACLES = {"op2_line_rules": LINES_SQL}
+ORACLES = {
+    "op2_line_rules": LINES_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_topk": TOPK_SQL, "op13_infill": INFILL_SQL,
+}
