@@ -1,4 +1,4 @@
-"""Quarantine gate, drain, and the outcome of each event."""
+"""Quarantine gate and drain; the outcome of each event is in ``replay``."""
 
 from __future__ import annotations
 
@@ -38,7 +38,6 @@ def drain(work: DataFrame, reached: DataFrame, rows_per_split: int | None = None
         rows,
         ["project_uuid"],
         order_by(),
-        "hlc_us",
         {
             "then": last_known(F.col("version"), order_by()),
             "later": max_after(F.col("version")),
@@ -56,24 +55,3 @@ def drain(work: DataFrame, reached: DataFrame, rows_per_split: int | None = None
         .otherwise(F.lit("quarantined"))
         .alias("outcome"),
     )
-
-
-def outcomes(log: DataFrame, projects: DataFrame, conflicts: DataFrame, arrival: str) -> DataFrame:
-    """What happens to each delivered event.
-
-    ``conflicts`` holds the ids of events that leave their item in conflict.
-    """
-    first = log.groupBy("event_uuid").agg(F.min(arrival).alias("__first"))
-    rows = gate(log, projects).join(first, ["event_uuid"], "left")
-    flagged = rows.join(conflicts.select("event_uuid").distinct().withColumn("__conflict", F.lit(True)), ["event_uuid"], "left")
-    group = event_class(F.col("kind"))
-    outcome = (
-        F.when(F.col(arrival) > F.col("__first"), F.lit("already_reduced"))
-        .when(group.isNull(), F.lit("unknown_kind"))
-        .when(group == "node", F.lit("node_registered"))
-        .when(group == "schema", F.lit("schema_updated"))
-        .when(F.col("quarantined"), F.lit("quarantined"))
-        .when(F.col("__conflict"), F.lit("conflict"))
-        .otherwise(F.lit("applied"))
-    )
-    return flagged.select("event_uuid", arrival, "kind", outcome.alias("outcome"))

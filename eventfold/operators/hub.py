@@ -84,7 +84,6 @@ def sequence_checks(rows: DataFrame, rows_per_split: int | None = None) -> DataF
         rows,
         ["node_uuid", "stream_id"],
         arrival(),
-        "batch",
         {"last_seq": max_before(F.col("stream_seq"))},
         rows_per_split,
     )
@@ -126,7 +125,6 @@ def sequence_cuts(rows: DataFrame, rows_per_split: int | None = None) -> DataFra
             marked,
             ["node_uuid", "stream_id"],
             arrival(),
-            "batch",
             {"last_seq": max_before(counted)},
             rows_per_split,
         )
@@ -168,7 +166,7 @@ def append(
         "event_uuid", "came", "came.batch", "came.line"
     )
     top = known.agg(F.coalesce(F.max("hub_offset"), F.lit(0))).scalar()
-    numbered = ordered(fresh, [], arrival(), "batch", {"place": position()}, rows_per_split)
+    numbered = ordered(fresh, [], arrival(), {"place": position()}, rows_per_split)
     offsets = known.withColumn("came", F.lit(None).cast(fresh.schema["came"].dataType)).unionByName(
         numbered.select("event_uuid", (F.col("place") + top).alias("hub_offset"), "came")
     )

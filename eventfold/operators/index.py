@@ -139,7 +139,6 @@ def dated_groups(changes: DataFrame, groups: DataFrame, rows_per_split: int | No
         changes.join(groups, "state_key", "left"),
         ["entity_uuid"],
         order,
-        "at_us",
         {"prev": previous_row(F.struct("state_key", "state_group"), order)},
         rows_per_split,
     )
@@ -200,7 +199,6 @@ def cycle_times(changes: DataFrame, rows_per_split: int | None = None) -> DataFr
         changes,
         ["entity_uuid"],
         order,
-        "at_us",
         {"nxt": following_row(F.struct("at_us"), order)},
         rows_per_split,
     ).where("nxt is not null")
@@ -287,7 +285,6 @@ def allocate_numbers(items: DataFrame, rows_per_split: int | None = None) -> Dat
         fresh.withColumn("__ms", F.coalesce("__ms", F.lit(0))),
         ["project_uuid"],
         [F.col("__ms"), F.col("entity_uuid")],
-        "__ms",
         {"__place": position()},
         rows_per_split,
     ).join(top, "project_uuid")

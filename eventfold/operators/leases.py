@@ -37,7 +37,6 @@ def progress_log(log: DataFrame, rows_per_split: int | None = None) -> DataFrame
         log,
         ["entity_uuid"],
         order_by(),
-        "hlc_us",
         {"holder": last_known(turn, order_by())},
         rows_per_split,
         then={"place": running_sum(accepted.cast("bigint"))},
@@ -59,7 +58,6 @@ def episodes(log: DataFrame, rows_per_split: int | None = None) -> DataFrame:
         log.where(F.col("kind").isin(CLAIM, RELEASE)),
         ["entity_uuid"],
         order_by(),
-        "hlc_us",
         {"nxt": nxt},
         rows_per_split,
     ).where(F.col("kind") == CLAIM)

@@ -12,7 +12,7 @@ from eventfold.operators.skew import ordered, position
 def canonical_order(log: DataFrame, keys: list[str] | None = None, rows_per_split: int | None = None) -> DataFrame:
     """Add ``rank``: the position in replay order, per ``keys`` or over the whole log."""
     return ordered(
-        log, keys or [], order_by(), "hlc_us", {"rank": position()}, rows_per_split
+        log, keys or [], order_by(), {"rank": position()}, rows_per_split
     )
 
 

@@ -193,7 +193,6 @@ def field_history(log: DataFrame, rows_per_split: int | None = None) -> DataFram
         field_writes(log),
         ["entity_uuid", "field"],
         order_by(),
-        "hlc_us",
         {"version": position(), "nxt": nxt},
         rows_per_split,
     )

@@ -32,7 +32,6 @@ def versions(
         rows,
         ["project_uuid"],
         order_by(),
-        "hlc_us",
         {"bumps": running_sum(kind.isin(*bump_kinds).cast("bigint"))},
         rows_per_split,
         then={"start": last_known(start, order_by())},

@@ -1,11 +1,10 @@
 """Ordered windows and lists that stay balanced when one key is hot.
 
-A plain window puts a whole group into one task. Here groups above
-``rows_per_split`` rows are cut along their order into slices, each slice is
-windowed by itself, and what earlier (or later) slices contribute is one small
-row per slice, computed with partial aggregation. Groups below the limit are one
-slice, so ordinary keys cost one window and nothing else: the carry side is then
-empty and adaptive execution removes it from the plan.
+A plain window puts a whole group into one task. Where no group is above
+``rows_per_split`` rows that is what runs. Otherwise all rows are range-partitioned by the
+keys and the *whole* order, at splitters that Spark samples, so that even a group of equal
+instants is cut into even slices. Each slice is windowed by itself, and what earlier (or
+later) slices contribute is one small row per slice, a prefix scan over partial sums.
 
 Joins need no such help: every join here has one row per key on one side, or sides
 reduced beforehand, so a hot key fills only one side and adaptive execution splits
@@ -19,18 +18,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group above this many rows is cut. Tables of hot groups hold at most
-# (all rows / this) rows, which is the size bound of the broadcasts below.
+from eventfold.operators.loops import cut
+
+# A table is cut into slices where a group is above this many rows.
 # ``eventfold.rowsPerSplit`` in the session overrides it.
 ROWS_PER_SPLIT = 4_000_000
 ROWS_SETTING = "eventfold.rowsPerSplit"
-# Slices are of equal width in the order position, so a hot group gets more of
-# them than its size asks for, to even out bursts.
+# Slices for each ``rows_per_split`` rows.
 SPREAD = 8
 #: Items in one part of a list.
 LIST_ITEMS = 10_000
 
-_SLICE, _PARTS, _LO, _HI = "__slice", "__parts", "__lo", "__hi"
+_SLICE = "__slice"
 
 
 @dataclass(frozen=True)
@@ -86,6 +85,16 @@ def max_before(value: Column) -> Measure:
     )
 
 
+def greatest_through(value: Column) -> Measure:
+    """Largest value up to and with the row; structs compare field by field."""
+    return Measure(
+        lambda w: F.max(value).over(_through(w)),
+        F.max(value),
+        lambda t, w: F.max(t).over(_before(w)),
+        lambda a, b: F.greatest(a, b),
+    )
+
+
 def max_after(value: Column) -> Measure:
     """Largest value of all later rows."""
     return Measure(
@@ -133,47 +142,47 @@ def ordered(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    pos: str,
     measures: dict[str, Measure],
     rows_per_split: int | None = None,
     then: dict[str, Measure] | None = None,
 ) -> DataFrame:
     """Add ordered measures per group of ``keys``.
 
-    ``order`` must start with the column ``pos`` (a non-null long) and be total.
-    ``keys`` may be empty (one group for the whole table); key values are non-null.
-    ``then`` are measures over the first ones, on the same slices and shuffle.
+    ``order`` must be total. ``keys`` may be empty (one group for the whole table).
+    ``then`` are measures over the first ones, on the same slices and shuffle. Group
+    sizes are counted first, from the key columns alone; a sliced table is written once.
     """
     if not keys:
-        out = ordered(
-            df.withColumn("__all", F.lit(0)), ["__all"], order, pos, measures, rows_per_split, then
-        )
+        out = ordered(df.withColumn("__all", F.lit(0)), ["__all"], order, measures, rows_per_split, then)
         return out.drop("__all")
-    out = _measured(_sliced(df, keys, pos, split_size(df, rows_per_split)), keys, order, measures)
-    if then:
-        out = _measured(out, keys, order, then)
-    return out.drop(_SLICE, _PARTS)
-
-
-def _measured(
-    sliced: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Measure]
-) -> DataFrame:
+    limit = split_size(df, rows_per_split)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.agg(F.max("__n").alias("top"), F.sum("__n").alias("all")).first()
+    if (sizes["top"] or 0) <= limit:
+        out = _within(df, keys, order, measures)
+        return _within(out, keys, order, then) if then else out
+    parts = -(-sizes["all"] // limit) * SPREAD
+    by_range = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    # Written, as splitters are drawn anew whenever the partitioning is worked out again.
+    out = cut(by_range.withColumn(_SLICE, F.spark_partition_id()))
+    for some in (measures, then or {}):
+        out = _across(out, keys, order, some) if some else out
+    return out.drop(_SLICE)
+
+
+def _within(df: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Measure]) -> DataFrame:
     # A frame of all following rows is evaluated anew for each row; the reverse order
     # turns it into a running frame.
-    forward = Window.partitionBy(*keys, _SLICE).orderBy(*order)
-    backward = Window.partitionBy(*keys, _SLICE).orderBy(*[c.desc() for c in order])
-    local = sliced.select(
-        *sliced.columns,
-        *[
-            m.local(backward if m.backward else forward).alias(name)
-            for name, m in measures.items()
-        ],
-    )
-    totals = (
-        sliced.where(F.col(_PARTS).isNotNull())
-        .groupBy(*keys, _SLICE)
-        .agg(*[m.total.alias(f"__t_{name}") for name, m in measures.items()])
+    forward = Window.partitionBy(*keys).orderBy(*order)
+    backward = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+    return df.select(
+        *df.columns, *[m.local(backward if m.backward else forward).alias(name) for name, m in measures.items()]
     )
+
+
+def _across(sliced: DataFrame, keys: list[str], order: list[Column], measures: dict[str, Measure]) -> DataFrame:
+    local = _within(sliced, [*keys, _SLICE], order, measures)
+    totals = sliced.groupBy(*keys, _SLICE).agg(*[m.total.alias(f"__t_{name}") for name, m in measures.items()])
     slices = Window.partitionBy(*keys).orderBy(_SLICE)
     later = Window.partitionBy(*keys).orderBy(F.col(_SLICE).desc())
     carry = totals.select(
@@ -190,24 +199,6 @@ def _measured(
     )
 
 
-def _sliced(df: DataFrame, keys: list[str], pos: str, rows_per_split: int) -> DataFrame:
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(pos).alias(_LO), F.max(pos).alias(_HI))
-        .where(F.col("__n") > rows_per_split)
-        .select(
-            *keys, _LO, _HI, (F.ceil(F.col("__n") / rows_per_split) * SPREAD).alias(_PARTS)
-        )
-    )
-    # At most (all rows / rows_per_split) groups are above the limit; the size decides the join.
-    marked = df.join(hot, keys, "left")
-    share = (F.col(pos) - F.col(_LO)).cast("double") / (F.col(_HI) - F.col(_LO) + 1)
-    # Doubles keep the order: the expression is monotone in the position.
-    return marked.withColumn(
-        _SLICE, F.coalesce(F.floor(share * F.col(_PARTS)), F.lit(0)).cast("bigint")
-    ).drop(_LO, _HI)
-
-
 def list_parts(
     df: DataFrame,
     keys: list[str],
@@ -223,16 +214,7 @@ def list_parts(
     the whole sorted list, and no task ever holds an unbounded one.
     """
     rows = df.select(*keys, item.alias(alias))
-    # The first seven bytes as a number: in the order of the texts, as slices need it.
-    lead = F.rpad(F.hex(F.substring(F.col(alias).cast("binary"), 1, 7)), 14, "0")
-    numbered = ordered(
-        rows.withColumn("__lead", F.conv(lead, 16, 10).cast("bigint")),
-        keys,
-        [F.col("__lead"), F.col(alias)],
-        "__lead",
-        {"__place": position()},
-        rows_per_split,
-    )
+    numbered = ordered(rows, keys, [F.col(alias)], {"__place": position()}, rows_per_split)
     part = F.floor((F.col("__place") - 1) / part_items).cast("int")
     return numbered.groupBy(*keys, part.alias("part")).agg(
         F.sort_array(F.collect_list(alias)).alias(alias)

@@ -88,14 +88,13 @@ def state_changes(log: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(
-    changes: DataFrame, order: list[Column], pos: str, transitions: DataFrame, rows_per_split: int | None = None
+    changes: DataFrame, order: list[Column], transitions: DataFrame, rows_per_split: int | None = None
 ) -> DataFrame:
     """State changes of an item that no transition allows; staying is allowed."""
     rows = ordered(
         changes,
         ["entity_uuid"],
         order,
-        pos,
         {"prev": previous_row(F.struct("state_key"), order)},
         rows_per_split,
     )
@@ -124,7 +123,7 @@ def state_at(probes: DataFrame, changes: DataFrame, rows_per_split: int | None =
     rows = known.unionByName(asked.withColumn("__id", F.to_json("__probe")))
     order = [F.col("at_us"), F.col("__side"), F.col("__id")]
     seen = ordered(
-        rows, ["entity_uuid"], order, "at_us", {"state_then": last_known(F.col("__state"), order)}, rows_per_split
+        rows, ["entity_uuid"], order, {"state_then": last_known(F.col("__state"), order)}, rows_per_split
     ).where("__side = 1")
     return seen.select("entity_uuid", "at_us", "__probe.*", "state_then")
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventfold.operators import edges, gate, registers, schema_log, validate, workflow
-from eventfold.operators.loops import cut
+from eventfold.operators import edges, gate, schema_log, validate, workflow
 from eventfold.plans import catalog
 from eventfold.plans.adapters import (
     edge_log,
     item_changes,
-    item_log,
     micros,
     order_items,
     schema_changes,
@@ -19,7 +17,6 @@ from eventfold.plans.adapters import (
     with_parts,
 )
 from eventfold.plans.q_edges import LIVE
-from eventfold.plans.q_items import FIELD_STATE, HEADERS, VTYPE
 from eventfold.plans.registry import query
 
 REACHED = {
@@ -229,90 +226,6 @@ def quarantine_drain(spark, sf):
     return gate.drain(shipped_work(spark, sf), schema_log.versions(schema_changes(spark, sf)))
 
 
-def checked_state(spark, sf, keep=False):
-    """Items and their live fields; ``keep`` writes both once, for jobs that read
-    them many times."""
-    log = item_log(spark, sf)
-    items = registers.headers(log).select("entity_uuid", "project_uuid", "entity_kind", "item_type", "updated_by")
-    fields = registers.live_fields(registers.field_state(log)).select("entity_uuid", "field", "value", "value_type")
-    return (cut(items), cut(fields)) if keep else (items, fields)
-
-
-CHECK = {
-    "state": FIELD_STATE,
-    "headers": HEADERS,
-    "projects": catalog.SQL["projects"],
-    "schema_fields": catalog.SQL["schema_fields"],
-    "enums": catalog.SQL["enums"],
-    "items_checked": "SELECT h.*, p.policy FROM headers h JOIN projects p ON p.project_uuid = h.project_uuid",
-    "typed": """SELECT * FROM items_checked i WHERE EXISTS (SELECT 1 FROM schema_fields f WHERE
-      f.project_uuid = i.project_uuid AND f.entity_kind = i.entity_kind AND f.item_type = i.item_type)""",
-    "live_fields": f"""SELECT entity_uuid, name AS field, written AS value, {VTYPE.format(c='written')} AS value_type
-      FROM state WHERE written IS NOT NULL""",
-    "declared": """SELECT t.project_uuid, t.entity_uuid, t.item_type, t.policy, l.field, l.value, l.value_type,
-      f.field_kind, f.enum_name FROM live_fields l JOIN typed t ON t.entity_uuid = l.entity_uuid
-      LEFT JOIN schema_fields f ON f.project_uuid = t.project_uuid AND f.entity_kind = t.entity_kind
-        AND f.item_type = t.item_type AND f.field = l.field""",
-}
-V8 = """SELECT project_uuid, entity_uuid, 'unknown_item_type' AS conflict_type, CAST(NULL AS VARCHAR) AS field,
-  coalesce(item_type, 'none') AS detail FROM items_checked WHERE entity_uuid NOT IN (SELECT entity_uuid FROM typed)"""
-V9 = """SELECT t.project_uuid, t.entity_uuid, 'missing_required_field' AS conflict_type, f.field, f.field AS detail
-  FROM typed t JOIN schema_fields f ON f.project_uuid = t.project_uuid AND f.entity_kind = t.entity_kind
-    AND f.item_type = t.item_type AND f.required
-  WHERE NOT EXISTS (SELECT 1 FROM live_fields l WHERE l.entity_uuid = t.entity_uuid AND l.field = f.field)"""
-V10 = """SELECT project_uuid, entity_uuid, 'unknown_field' AS conflict_type, field, item_type AS detail FROM declared
-  WHERE field_kind IS NULL AND policy = 'strict'"""
-V11 = """SELECT project_uuid, entity_uuid, 'field_type_mismatch' AS conflict_type, field,
-  field_kind || '/' || value_type AS detail FROM declared WHERE field_kind IS NOT NULL AND NOT (
-    (field_kind IN ('text', 'url', 'email', 'enum') AND value_type = 'string')
-    OR (field_kind IN ('number', 'counter') AND value_type = 'integer')
-    OR (field_kind = 'decimal' AND value_type = 'decimal') OR (field_kind = 'boolean' AND value_type = 'boolean'))"""
-V12 = """SELECT project_uuid, entity_uuid, CASE WHEN enum_name IS NULL OR (enum_name = 'priority'
-    AND value_type <> 'string') THEN 'field_type_mismatch' ELSE 'unknown_enum_value' END AS conflict_type, field,
-  CASE WHEN enum_name IS NULL THEN 'no enum' WHEN enum_name NOT IN (SELECT enum_name FROM enums) THEN 'no catalog'
-    WHEN value_type <> 'string' THEN 'not a string' ELSE trim(value, '"') END AS detail
-  FROM declared WHERE field_kind = 'enum' AND NOT coalesce(enum_name = 'priority' AND value_type = 'string'
-    AND trim(value, '"') IN (SELECT enum_value FROM enums WHERE enums.enum_name = 'priority'), FALSE)"""
-ALL_FINDINGS = " UNION ALL ".join(f"({q})" for q in (V8, V9, V10, V11, V12))
-
-
-@query("v8_unknown_types", with_parts(["log", "writes"], V8, CHECK))
-def unknown_types(spark, sf):
-    """Items whose type is missing or not declared for their kind."""
-    items, _ = checked_state(spark, sf)
-    return validate.unknown_types(items, catalog.projects(spark), catalog.schema_fields(spark))
-
-
-def typed(spark, sf):
-    items, fields = checked_state(spark, sf)
-    declared = catalog.schema_fields(spark)
-    return validate.typed_items(items, catalog.projects(spark), declared), fields, declared
-
-
-@query("v9_missing_required", with_parts(["log", "writes"], V9, CHECK))
-def missing_required(spark, sf):
-    """Required fields that an item lacks; cleared ones count as lacking."""
-    return validate.missing_required(*typed(spark, sf))
-
-
-@query("v10_undeclared_fields", with_parts(["log", "writes"], V10, CHECK))
-def undeclared_fields(spark, sf):
-    """Fields not declared on the type, under the strict policy."""
-    return validate.undeclared(validate.declared_fields(*typed(spark, sf)))
-
-
-@query("v11_type_mismatches", with_parts(["log", "writes"], V11, CHECK))
-def type_mismatches(spark, sf):
-    """Values whose stored type does not fit the declared kind."""
-    return validate.type_mismatches(validate.declared_fields(*typed(spark, sf)))
-
-
-@query("v12_enum_findings", with_parts(["log", "writes"], V12, CHECK))
-def enum_findings(spark, sf):
-    """Enum fields with no enum, no catalog, a foreign value or a non-string."""
-    return validate.enum_findings(validate.declared_fields(*typed(spark, sf)), catalog.enums(spark))
-
-
 V13 = """SELECT project_uuid, from_uuid AS entity_uuid, 'missing_entity_ref' AS conflict_type, 'to_uuid' AS field,
     relation_uuid AS detail FROM live WHERE to_uuid NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size % 10 <> 0)
   UNION ALL SELECT project_uuid, from_uuid, 'missing_entity_ref', 'from_uuid', relation_uuid FROM live
@@ -328,116 +241,6 @@ def dangling_relations(spark, sf):
     return validate.dangling(live, orders.unionByName(parts))
 
 
-@query(
-    "v14_conflict_log",
-    with_parts(
-        ["log", "writes"],
-        """SELECT sha256(f.entity_uuid || '|' || h.updated_by || '|' || part) AS conflict_id, f.entity_uuid,
-          h.updated_by AS trigger, first_type, findings, part, found, FALSE AS resolved FROM (SELECT entity_uuid, part, first_type, findings, string_agg(code, ',' ORDER BY code)
-            AS found FROM (SELECT *, CAST((row_number() OVER (PARTITION BY entity_uuid ORDER BY code) - 1) // 10000 AS INTEGER)
-            AS part, arg_min(conflict_type, rank) OVER (PARTITION BY entity_uuid) AS first_type, count(*) OVER (PARTITION BY
-            entity_uuid) AS findings FROM (SELECT *, conflict_type || ':' || coalesce(field, '-') AS code,
-            list_position(['unknown_item_type', 'missing_required_field', 'unknown_field', 'field_type_mismatch',
-            'unknown_enum_value'], conflict_type) AS rank FROM findings)) GROUP BY entity_uuid, part, first_type, findings) f
-        JOIN headers h ON h.entity_uuid = f.entity_uuid""",
-        {**CHECK, "findings": ALL_FINDINGS},
-    ),
-)
-def conflict_log(spark, sf):
-    """Unresolved conflict rows: one per item with all of its findings."""
-    items, fields = checked_state(spark, sf, keep=True)
-    found = validate.item_conflicts(
-        items, fields, catalog.projects(spark), catalog.schema_fields(spark), catalog.enums(spark)
-    )
-    rows = validate.conflict_log(found, items.select("entity_uuid", F.col("updated_by").alias("trigger")))
-    return rows.select(
-        "conflict_id", "entity_uuid", "trigger", "first_type", "findings", "part", F.array_join("found", ",").alias("found"), "resolved"
-    )
-
-
-REVALIDATE = dict(CHECK)
-REVALIDATE["enums"] = CHECK["enums"] + " WHERE enum_value <> 'high'"
-REVALIDATE["projects"] = CHECK["projects"] + " WHERE project_uuid IN ('P0', 'P1')"
-
-
-@query(
-    "v16_revalidation",
-    with_parts(
-        ["log", "writes"],
-        """SELECT 'schema:' || project_uuid || ':3' AS trigger, conflict_type, count(*) AS findings,
-        count(DISTINCT entity_uuid) AS items FROM findings GROUP BY project_uuid, conflict_type""",
-        {**REVALIDATE, "findings": ALL_FINDINGS},
-    ),
-)
-def revalidation(spark, sf):
-    """All items of the projects whose schema moved, under the new schema (one enum
-    member removed), findings attributed to the schema event."""
-    items, fields = checked_state(spark, sf, keep=True)
-    moved = catalog.projects(spark).where(F.col("project_uuid").isin("P0", "P1"))
-    enums = catalog.enums(spark).where("enum_value <> 'high'")
-    found = validate.item_conflicts(items, fields, moved, catalog.schema_fields(spark), enums)
-    per_item = found.groupBy("project_uuid", "conflict_type", "entity_uuid").agg(F.count(F.lit(1)).alias("n"))
-    return per_item.groupBy(
-        F.concat(F.lit("schema:"), "project_uuid", F.lit(":3")).alias("trigger"), "conflict_type"
-    ).agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("items"))
-
-
-HISTORY = {
-    "steps": """SELECT *, count(*) FILTER (kind = 'item.create') OVER w AS made,
-      count(*) FILTER (kind = 'item.create' AND title IS NOT NULL) OVER w AS titles,
-      count(*) FILTER (field = 'f2' AND kind IN ('item.set-field', 'item.clear-field')) OVER w AS turn
-      FROM log WINDOW w AS (PARTITION BY entity_uuid ORDER BY {o} ROWS UNBOUNDED PRECEDING)""",
-    "choice": "SELECT entity_uuid, turn, value FROM steps WHERE field = 'f2' AND kind IN ('item.set-field', 'item.clear-field')",
-    "history": """SELECT s.event_uuid, s.entity_uuid, s.titles = 0 AS missing_required,
-      coalesce(c.value LIKE '"%' AND trim(c.value, '"') NOT IN ('low', 'medium', 'high'), FALSE) AS unknown_enum
-      FROM steps s LEFT JOIN choice c ON c.entity_uuid = s.entity_uuid AND c.turn = s.turn WHERE s.made > 0""",
-}
-
-
-def history(log):
-    return validate.conflict_history(log, "title", "f2", ["low", "medium", "high"])
-
-
-@query(
-    "v17_conflict_history",
-    with_parts(["log"], "SELECT * FROM history WHERE missing_required OR unknown_enum", HISTORY),
-)
-def conflict_history(spark, sf):
-    """Findings right after each event, from running state."""
-    return history(item_log(spark, sf))
-
-
-@query(
-    "v18_outcomes",
-    with_parts(
-        ["log"],
-        """SELECT kind, outcome, count(*) AS events FROM (SELECT kind, CASE WHEN again THEN 'already_reduced'
-          WHEN kind = 'node.register' THEN 'node_registered' WHEN kind LIKE 'schema.%' THEN 'schema_updated'
-          WHEN version IS NULL OR schema_version > version THEN 'quarantined'
-          WHEN event_uuid IN (SELECT event_uuid FROM history WHERE missing_required OR unknown_enum) THEN 'conflict'
-          ELSE 'applied' END AS outcome FROM (SELECT c.event_uuid, c.schema_version, p.version, again,
-            CASE WHEN stream_seq % 41 = 0 THEN 'node.register' WHEN stream_seq % 43 = 0 THEN 'schema.add-field'
-            ELSE kind END AS kind FROM (SELECT *, FALSE AS again FROM changes UNION ALL SELECT *, TRUE FROM changes
-              WHERE stream_seq % 13 = 0) c LEFT JOIN projects p ON p.project_uuid = c.project_uuid))
-        GROUP BY kind, outcome""",
-        {**HISTORY, "projects": catalog.SQL["projects"]},
-    ),
-)
-def outcomes(spark, sf):
-    """Outcome of every delivered event, counted by kind."""
-    log = item_changes(table(spark, sf, "events"))
-    n = F.col("stream_seq")
-    mixed = log.drop("fields").withColumn(
-        "kind",
-        F.when(n % 41 == 0, F.lit("node.register")).when(n % 43 == 0, F.lit("schema.add-field")).otherwise(F.col("kind")),
-    )
-    sent = mixed.withColumn("arrival", n).unionByName(
-        mixed.where(n % 13 == 0).withColumn("arrival", n + 1_000_000_000_000)
-    )
-    rows = gate.outcomes(sent, catalog.projects(spark), history(item_log(spark, sf)), "arrival")
-    return rows.groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("events"))
-
-
 def catalogs(spark, sf):
     """State, label, workflow and type catalogs of fifty projects."""
     p, c, o = F.col("p_partkey"), F.col("c_custkey"), F.col("o_orderkey")
@@ -544,7 +347,7 @@ MOVES = {
 def illegal_transitions(spark, sf):
     """State changes that the workflow does not allow."""
     return workflow.illegal_transitions(
-        dated_changes(spark, sf), [F.col("at_us"), F.col("event_uuid")], "at_us", catalog.transitions(spark)
+        dated_changes(spark, sf), [F.col("at_us"), F.col("event_uuid")], catalog.transitions(spark)
     )
 
 

@@ -33,6 +33,7 @@ def load() -> None:
         q_hub,
         q_index,
         q_items,
+        q_replay,
         q_schema,
         q_sources,
         q_streams,

@@ -31,13 +31,15 @@ REQUIRED = (
 )
 # One union of all payload shapes.
 PAYLOAD = (
-    "entity_uuid string, entity_kind string, item_type string, fields map<string,string>, "
+    "entity_uuid string, entity_kind string, item_type string, "
     "field string, value string, delta bigint, label string, user string, state_key string, "
     "comment_uuid string, author string, body_markdown string, kind string, directed_at string, "
     "replaces string, relation_uuid string, relation_kind string, from_entity_uuid string, "
     "to_entity_uuid string, attrs map<string,string>, executor string, claim_expires_at string, "
-    "node_uuid string, entity_type string, definition string, schema_version string, snapshot string"
+    "node_uuid string, entity_type string, definition string, schema_version string, snapshot string, "
+    "compatibility string, schema string"
 )
+DEFINITION = "type string, enum_name string, required boolean"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +127,9 @@ def decode_payloads(log: DataFrame) -> DataFrame:
     return log.withColumn("p", p).select(
         *[c for c in log.columns if c != "payload"],
         F.col("p.entity_uuid").alias("entity_uuid"),
-        F.col("p.entity_kind").alias("entity_kind"),
+        F.coalesce("p.entity_kind", "p.entity_type").alias("entity_kind"),
         F.col("p.item_type").alias("item_type"),
-        F.col("p.fields").alias("fields"),
+        raw_fields(F.col("payload")).alias("fields"),
         F.col("p.field").alias("field"),
         raw_value(F.col("payload")).alias("value"),
         F.col("p.delta").alias("delta"),
@@ -146,14 +148,35 @@ def decode_payloads(log: DataFrame) -> DataFrame:
         F.col("p.attrs").alias("attrs"),
         F.col("p.executor").alias("executor"),
         instant_us(F.col("p.claim_expires_at")).alias("expires_us"),
+        *schema_payload(F.col("p")),
     )
 
 
+def schema_payload(p: Column) -> list[Column]:
+    """The columns of schema and node events (see ``operators.schema_time``)."""
+    definition = F.from_json(p["definition"], DEFINITION)
+    return [
+        F.coalesce(p["schema"], p["snapshot"]).alias("schema_body"),
+        p["compatibility"].alias("policy"),
+        p["schema_version"].try_cast("bigint").alias("given_version"),
+        definition["type"].alias("field_kind"),
+        definition["required"].alias("required"),
+        definition["enum_name"].alias("enum_name"),
+        p["node_uuid"].alias("registered_node"),
+    ]
+
+
 def raw_value(payload: Column) -> Column:
     """The JSON form of ``value``: strings keep their quotes, so types stay visible."""
     return F.to_json(F.variant_get(F.try_parse_json(payload), "$.value", "variant"))
 
 
+def raw_fields(payload: Column) -> Column:
+    """``fields`` with the JSON form of each value, as ``raw_value``."""
+    parsed = F.variant_get(F.try_parse_json(payload), "$.fields", "map<string,variant>")
+    return F.transform_values(parsed, lambda _, v: F.to_json(v))
+
+
 def flat_log(envelopes: DataFrame) -> DataFrame:
     """Good envelopes as the log the operators take: clock fields and payload, row by row."""
     flat = envelopes.withColumn("stamp", parse_hlc(F.col("hlc"))).select(

@@ -21,7 +21,6 @@ def test_measures_match_one_by_one(spark, limit):
         df,
         ["k"],
         order,
-        "pos",
         {
             "place": skew.position(),
             "total": skew.running_sum(F.col("v")),

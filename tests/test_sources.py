@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from eventfold import api
 from eventfold.functions.stamps import format_hlc, parse_hlc
 from eventfold.functions.values import coerce, is_entity_ref, json_type
 from eventfold.operators import registers
@@ -83,12 +84,47 @@ def test_wire_log_reduces(spark):
     assert state["j"] == ('{"a":[1]}', "json")
 
 
+def test_wire_lines_go_through_the_whole_pipeline(spark):
+    """Schema, typed writes, errors, conflicts and node events, all from JSON lines."""
+    wire, item = [], {"entity_uuid": "E1"}
+
+    def line(kind, payload, schema_version="1"):
+        n = len(wire)
+        wire.append({**EVENT, "event_uuid": f"01KB2N9TXA6HEVS0RMW4FJ8C{n:02d}", "kind": kind, "payload": payload, "stream_seq": n,
+                     "hlc": f"2025-03-02T08:{n:02d}:00Z/{NODE}/0001", "schema_version": schema_version})
+
+    types = {"bug": {"entity_kind": "issue", "fields": {"title": {"type": "text", "required": True}, "size": {"type": "counter"}}}}
+    line("item.create", {**item, "entity_kind": "issue", "item_type": "bug", "fields": {"title": "A \"b\""}})
+    line("schema.init", {"compatibility": "strict", "schema": {"version": "1", "item_types": types, "enums": {"level": {"values": ["low"]}}}})
+    line("schema.add-field", {"entity_type": "issue", "field": "level", "definition": {"type": "enum", "enum_name": "level"}})
+    line("item.set-field", {**item, "field": "level", "value": "low"})
+    line("item.set-field", {**item, "field": "level", "value": 3})
+    line("item.adjust-field", {**item, "field": "size", "delta": 2})
+    line("item.set-field", {**item, "field": "level", "value": "odd"})
+    line("item.set-field", {**item, "field": "due", "value": {"a": 1}}, "9")
+    line("node.register", {"node_uuid": NODE})
+    good, bad = jsonlines.split_good_bad(decoded(spark, [json.dumps(e) for e in wire]))
+    out = api.reduce_log(jsonlines.flat_log(good))
+    fates = [r.outcome for r in out["outcomes"].orderBy("event_uuid").collect()]
+    assert bad.count() == 0
+    assert fates == [
+        "applied", "schema_updated", "schema_updated", "applied", "error", "applied", "conflict", "quarantined", "node_registered"
+    ]
+    assert {(r.field, r.value_type, r.stored) for r in out["fields"].collect()} == {
+        ("title", "string", 'A "b"'), ("level", "string", "odd"), ("size", "integer", "2"),
+    }
+    assert [(r.conflict_type, r.field) for r in out["conflicts"].collect()] == [("unknown_enum_value", "level")]
+
+
 def test_readme_example(spark):
     """The first code block of the README, on lines with a claim."""
     claim = {**EVENT, "event_uuid": EVENT["event_uuid"][:-1] + "5", "kind": "item.claim",
              "payload": {"entity_uuid": "E1", "executor": "agent:a", "claim_expires_at": "2025-03-02T09:00:00Z"}}
+    schema = {**EVENT, "event_uuid": EVENT["event_uuid"][:-1] + "6", "kind": "schema.snapshot", "stream_id": "schema",
+              "hlc": f"2025-03-02T08:00:00Z/{NODE}/0001",
+              "payload": {"schema_version": "5", "snapshot": {"item_types": {"Task": {"entity_kind": "issue", "fields": {}}}}}}
     path = fresh_path(spark, "lines")
-    spark.createDataFrame([(json.dumps(e),) for e in (EVENT, claim)], "value string").coalesce(1).write.text(path)
+    spark.createDataFrame([(json.dumps(e),) for e in (EVENT, claim, schema)], "value string").coalesce(1).write.text(path)
     with open("README.md") as file:
         code = file.read().split("```python\n")[1].split("```")[0].replace("/data/logs", path)
     names = {"spark": spark}

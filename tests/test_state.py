@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from eventfold.functions.values import json_text
 from eventfold.operators import edges, gate, leases, registers, schema_log, threads, validate
 from tests.logs import create, event, frame
 
@@ -94,10 +95,12 @@ BUG = [
 def findings(spark, rows, members=("low", "urgent")):
     log = frame(spark, rows)
     items = registers.headers(log).select("entity_uuid", "project_uuid", "entity_kind", "item_type")
-    fields = registers.live_fields(registers.field_state(log)).select("entity_uuid", "field", "value", "value_type")
-    projects = spark.createDataFrame([("P0", 1, "strict")], "project_uuid string, version bigint, policy string")
-    enums = spark.createDataFrame([("level", m) for m in members], "enum_name string, enum_value string")
-    out = validate.item_conflicts(items, fields, projects, spark.createDataFrame(BUG, FIELDS), enums)
+    fields = registers.live_fields(registers.field_state(log)).withColumn("stored", F.coalesce(json_text(F.col("value")), "value"))
+    projects = spark.createDataFrame([("P0", "strict")], "project_uuid string, policy string")
+    types = spark.createDataFrame([("P0", "issue", "bug")], "project_uuid string, entity_kind string, item_type string")
+    enums = spark.createDataFrame([("P0", "level", m) for m in members], "project_uuid string, enum_name string, enum_value string")
+    catalogs = enums.select("project_uuid", "enum_name").distinct()
+    out = validate.item_conflicts(items, fields, projects, types, spark.createDataFrame(BUG, FIELDS), catalogs, enums)
     return sorted((r.conflict_type, r.field) for r in out.collect())
 
 
