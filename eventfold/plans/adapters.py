@@ -186,30 +186,27 @@ def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims, progress notes and releases on items, one per event row."""
+    """Claims, progress notes and releases on items, one per event row of any type."""
     i, u, k, t = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
     agent = tag("agent:x", k % 4)
-    return (
-        with_k(table(spark, sf_dir, "events"))
-        .where(t.isin("view", "click", "error"))
-        .select(
-            padded(i).alias("event_uuid"),
-            tag("P", u % 5).alias("project_uuid"),
-            tag("N", i % 3).alias("node_uuid"),
-            agent.alias("actor"),
-            i.alias("stream_seq"),
-            F.col("us").alias("hlc_us"),
-            F.lit(0).alias("hlc_ns"),
-            tag("N", i % 3).alias("hlc_node"),
-            (i % 2).alias("hlc_seq"),
-            F.when(t == "view", F.lit("execution.claim"))
-            .when(t == "click", F.lit("execution.progress"))
-            .otherwise(F.lit("execution.release"))
-            .alias("kind"),
-            tag("E", u).alias("entity_uuid"),
-            F.when(t == "view", agent).alias("executor"),
-            F.when(t == "view", F.col("us") + (k + 1) * HOUR_US).alias("expires_us"),
-        )
+    claims = (t == "view") | ((t == "purchase") & (k % 3 == 0))
+    return with_k(table(spark, sf_dir, "events")).select(
+        padded(i).alias("event_uuid"),
+        tag("P", u % 5).alias("project_uuid"),
+        tag("N", i % 3).alias("node_uuid"),
+        agent.alias("actor"),
+        i.alias("stream_seq"),
+        F.col("us").alias("hlc_us"),
+        F.lit(0).alias("hlc_ns"),
+        tag("N", i % 3).alias("hlc_node"),
+        (i % 2).alias("hlc_seq"),
+        F.when(claims, F.lit("execution.claim"))
+        .when(t.isin("click", "signup"), F.lit("execution.progress"))
+        .otherwise(F.lit("execution.release"))
+        .alias("kind"),
+        tag("E", u).alias("entity_uuid"),
+        F.when(claims, agent).alias("executor"),
+        F.when(claims, F.col("us") + (k + 1) * HOUR_US).alias("expires_us"),
     )
 
 
@@ -427,11 +424,11 @@ SQL["claims"] = """SELECT lpad(CAST(event_id AS VARCHAR), 26, '0') AS event_uuid
   'P' || (user_id % 5) AS project_uuid, 'N' || (event_id % 3) AS node_uuid,
   'agent:x' || (k % 4) AS actor, event_id AS stream_seq, us AS hlc_us, 0 AS hlc_ns,
   'N' || (event_id % 3) AS hlc_node, event_id % 2 AS hlc_seq,
-  CASE event_type WHEN 'view' THEN 'execution.claim' WHEN 'click' THEN 'execution.progress'
+  CASE WHEN claims THEN 'execution.claim' WHEN event_type IN ('click', 'signup') THEN 'execution.progress'
     ELSE 'execution.release' END AS kind, 'E' || user_id AS entity_uuid,
-  CASE WHEN event_type = 'view' THEN 'agent:x' || (k % 4) END AS executor,
-  CASE WHEN event_type = 'view' THEN us + (k + 1) * 3600000000 END AS expires_us
-  FROM ev WHERE event_type IN ('view', 'click', 'error')"""
+  CASE WHEN claims THEN 'agent:x' || (k % 4) END AS executor,
+  CASE WHEN claims THEN us + (k + 1) * 3600000000 END AS expires_us
+  FROM (SELECT *, event_type = 'view' OR (event_type = 'purchase' AND k % 3 = 0) AS claims FROM ev)"""
 SQL["edges"] = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
     CAST(l_quantity AS BIGINT)) AS event_uuid,
   'P' || (l_orderkey % 5) AS project_uuid, 'N' || (l_suppkey % 3) AS node_uuid,
