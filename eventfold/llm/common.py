@@ -28,6 +28,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def folded(docs: DataFrame, **more: Column) -> DataFrame:
+    """Rows with all their columns in ``_doc``, so that no name of theirs meets one of ours."""
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
+    return docs.select(row.alias("_doc"), *[column.alias(name) for name, column in more.items()])
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """``folded`` rows with the columns of ``docs`` again; ``changed`` replaces those that there are."""
+    return rows.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
+
+
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -54,8 +65,8 @@ def held_out() -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """``(doc_id, text, label)`` of at most ``rows`` labelled training rows, by id hash.
 
-    Equal texts count once, so that copies don't outvote the rest. Ids with several labels
-    take the larger; unlabelled, held-out and id-less rows are left out.
+    Equal texts count once, so that copies don't outvote the rest. Ids and equal texts with
+    several labels take the larger; unlabelled, held-out and id-less rows are left out.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -63,7 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     found = texts(docs).join(known, "doc_id")
-    return found.dropDuplicates(["text"])
+    return found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
 
 
 def running(rows: DataFrame, key: str, order: list[str], value: str, out: str, spread: int = 50_000) -> DataFrame:

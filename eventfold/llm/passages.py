@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventfold.llm import alike
-from eventfold.llm.alike import CROWD, SHINGLE, mix
+from eventfold.llm.alike import LEADERS, SHINGLE, mix
 from eventfold.llm.common import texts
 from eventfold.operators.loops import components, cut
 
@@ -26,6 +26,8 @@ REACH, MIN_WORDS, MAX_WORDS = 5, 5, 16
 PASSAGE_WORDS = 20
 #: Fewer shingles can't be alike without being equal: 3 of 4 are less than 0.8.
 MIN_SHINGLES = 4
+#: Longs of a paragraph's sketch.
+LONGS = 4
 
 _SALTS = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -67,15 +69,16 @@ class Cuts:
         at = np.arange(self.n, dtype=np.uint64) - np.repeat(firsts, np.diff(np.append(firsts, self.n))).astype(np.uint64)
         return np.add.reduceat(mix(self.hashes + at * _SALTS[0]), firsts)
 
-    def sketches(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Set sizes and band keys of the paragraphs ``some``, each of five words at least."""
+    def sketches(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Set sizes, band keys and sketches of the paragraphs ``some``, each of five words at least."""
         counts = self.lasts[some] - self.firsts[some] - SHINGLE + 1
         starts = np.cumsum(counts) - counts
         of = np.repeat(np.arange(len(some)), counts)
         values = self.shingles[np.arange(counts.sum()) - starts[of] + self.firsts[some][of]]
         order = np.lexsort((values, of))
         same = (values[order][1:] == values[order][:-1]) & (of[1:] == of[:-1])
-        return np.add.reduceat(np.append(True, ~same).astype(np.int64), starts), alike.band_keys(values, starts)
+        sizes = np.add.reduceat(np.append(True, ~same).astype(np.int64), starts)
+        return sizes, alike.band_keys(values, starts), alike.bit_maps(values, of, len(some), LONGS)
 
     def shingle_set(self, no: int) -> list[int]:
         """The shingles of a paragraph as a sorted set of signed numbers."""
@@ -93,7 +96,7 @@ def with_neighbours(whole: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, n
 
 
 def pieces_and_paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, no, start, end, words, whole, line, n, bands)``, from one reading.
+    """``(doc_id, row_key, no, start, end, words, whole, line, n, bands, sketch)``, from one reading.
 
     ``start`` and ``end`` are in code points. Null and empty texts have no row. Pieces have
     the hash of their paragraph as ``line``, and no ``bands``; every piece has a row of its
@@ -104,11 +107,11 @@ def pieces_and_paragraphs(docs: DataFrame) -> DataFrame:
     """
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "row_key", "no", "start", "end", "words", "whole", "line", "n", "bands"]
+    names = ["doc_id", "row_key", "no", "start", "end", "words", "whole", "line", "n", "bands", "sketch"]
 
     def run(batches):
         for b in batches:
-            take, parts, bands = [], [[] for _ in names[2:-1]], []
+            take, parts, bands, sketches = [], [[] for _ in names[2:-2]], [], []
             for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 cuts = Cuts(text)
                 if not cuts.n:
@@ -131,23 +134,26 @@ def pieces_and_paragraphs(docs: DataFrame) -> DataFrame:
                 of = np.searchsorted(cuts.firsts, firsts[some], "right") - 1
                 add(some, firsts[some], lasts[some], own, whole[of], np.zeros(len(some), np.int64))
                 bands += [None] * len(some)
+                sketches += [None] * len(some)
                 some = np.flatnonzero(cuts.lasts - cuts.firsts >= SHINGLE + MIN_SHINGLES - 1)
                 if len(some):
-                    n, keys = cuts.sketches(some)
+                    n, keys, maps = cuts.sketches(some)
                     add(some, cuts.firsts[some], cuts.lasts[some], whole[some], whole[some], n)
                     bands += list(keys.view(np.int64))
+                    sketches += list(maps)
             if not take:
                 continue
             at = pa.array(np.concatenate(take), pa.int32())
             columns = [np.concatenate(p) for p in parts]
             small = [pa.array(c.astype(np.int32)) for c in columns[:4]]
             large = [pa.array(c.view(np.int64)) for c in columns[4:6]]
-            last = [pa.array(columns[6].astype(np.int32)), pa.array(bands, pa.list_(pa.int64()))]
+            lists = pa.list_(pa.int64())
+            last = [pa.array(columns[6].astype(np.int32)), pa.array(bands, lists), pa.array(sketches, lists)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *small, *large, *last], names)
 
     return rows.mapInArrow(
         run,
-        f"doc_id {kind}, row_key long, no int, start int, end int, words int, whole long, line long, n int, bands array<long>",
+        f"doc_id {kind}, row_key long, no int, start int, end int, words int, whole long, line long, n int, bands array<long>, sketch array<long>",
     )
 
 
@@ -175,7 +181,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts(docs).join(wanted, "doc_id").select("text", "wholes").mapInArrow(run, "whole long, shingles array<long>")
 
 
-def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame:
+def _links(docs: DataFrame, distinct: DataFrame, leaders: tuple[int, ...]) -> DataFrame:
     """Links ``(a, b)`` of different paragraphs that are alike, complete up to connection."""
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -183,10 +189,10 @@ def _links(docs: DataFrame, distinct: DataFrame, crowd: int) -> DataFrame:
         homes = distinct.join(wanted, "whole", "left_semi").groupBy(F.col("home").alias("doc_id"))
         return shingle_sets(docs, homes.agg(F.collect_set("whole").alias("wholes"))).dropDuplicates(["whole"])
 
-    return alike.links(distinct.select("whole", "n", "bands"), sets_of, crowd)
+    return alike.links(distinct.select("whole", "n", "bands", "sketch"), sets_of, leaders, LONGS)
 
 
-def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, crowd: int = CROWD) -> DataFrame:
+def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """Passages that stand in two documents or more, one row for each place.
 
     ``(doc_id, start, end, n_words, clusters, first_doc, removed)``: ``clusters`` are the
@@ -202,8 +208,8 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, crowd: int = CR
     found = cut(pieces_and_paragraphs(docs))
     homes = [F.min("doc_id").alias("home"), F.max("doc_id").alias("last")]
     lines = found.where(F.col("bands").isNotNull()).groupBy("whole")
-    distinct = cut(lines.agg(*homes, F.first("n").alias("n"), F.first("bands").alias("bands")))
-    named = components(_links(docs, distinct, crowd)).withColumnRenamed("id", "whole")
+    distinct = cut(lines.agg(*homes, F.any_value(F.struct("n", "bands", "sketch")).alias("own")).select("whole", "home", "last", "own.*"))
+    named = components(_links(docs, distinct, leaders)).withColumnRenamed("id", "whole")
     near = cut(distinct.select("whole", "home", "last").join(named, "whole"))
     spread = near.groupBy("cluster").agg(F.min("home").alias("first"), F.max("last").alias("last"))
     near = cut(near.join(spread.where("first < last").drop("last"), "cluster").select(F.col("whole").alias("line"), "cluster", "first"))

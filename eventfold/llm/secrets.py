@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventfold.llm.common import folded, unfolded
 from eventfold.operators.loops import cut
 
 # Fixed patterns of the base kinds: (kind, pattern, group that is measured, least length).
@@ -221,8 +222,8 @@ def redacted(docs: DataFrame, mark: str = "[secret]", margin: float = MARGIN) ->
     """
     found = scan(docs, margin).where(F.size("spans") > 0).groupBy("doc_id", "row_key").agg(F.first("spans").alias("_spans"))
     found = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key")
-    rows = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (F.col("_row") == F.col("_key")), "left")
+    rows = folded(docs, doc_id=F.col("doc_id"), text=F.col("text"), row=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    met = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (F.col("row") == F.col("_key")), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -237,8 +238,10 @@ def redacted(docs: DataFrame, mark: str = "[secret]", margin: float = MARGIN) ->
         "_spans", start, step,
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.expr("text").substr(acc["at"] + 1, F.length("text"))),
     )
-    out = met.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
+    hit = F.col("_spans").isNotNull()
+    met = met.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    more = {}
     if "n_chars" in docs.columns:
         counted = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), counted).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        more["n_chars"] = F.when(hit, counted).otherwise(F.col("_doc.n_chars"))
+    return unfolded(met, docs, text=F.col("text"), **more)

@@ -15,7 +15,6 @@ without a cross join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import texts
+from eventfold.llm.common import folded, texts, unfolded
 from eventfold.operators.loops import components, cut
 
 BITS, QUARTER, RADIUS = 64, 16, 2
@@ -162,11 +161,11 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame
     only, any one of these rows stays. All columns are kept as they are.
     """
     found = cut(near_duplicates(docs, words, radius))
-    return rows_of_least_ids(docs, found, lambda d: _with_fp(d, words))
+    return rows_of_least_ids(docs, found, _fp_column(words))
 
 
-def rows_of_least_ids(docs: DataFrame, found: DataFrame, with_fp: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of ``docs`` for each ``cluster`` of ``found``; ``with_fp`` adds the ``fp`` of a row as ``_fp``."""
+def rows_of_least_ids(docs: DataFrame, found: DataFrame, fp: Column) -> DataFrame:
+    """One row of ``docs`` for each ``cluster`` of ``found``; ``fp`` is the fingerprint of its column ``text``."""
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     once = ids.where("n = 1 and doc_id = component_id").select("doc_id")
     again = ids.where("n > 1 or doc_id is null").select("doc_id")
@@ -178,18 +177,18 @@ def rows_of_least_ids(docs: DataFrame, found: DataFrame, with_fp: Callable[[Data
     ).distinct()
     # Null-safe, as a plain join would have the fingerprints tested for null, and so worked
     # out for all rows, ahead of the semi join.
-    several = with_fp(several)
+    several = folded(several, doc_id=F.col("doc_id"), text=F.col("text")).withColumn("fp", fp)
     several = (
-        several.join(classes, several["_fp"].eqNullSafe(classes["_fp"]))
+        several.join(classes, several["fp"].eqNullSafe(classes["_fp"]))
         .where(F.col("doc_id").eqNullSafe(F.col("_component")))
         .dropDuplicates(["_cluster"])
     )
-    return single.unionByName(several.select(*docs.columns))
+    return single.unionByName(unfolded(several, docs))
 
 
-def _with_fp(docs: DataFrame, words: int) -> DataFrame:
+def _fp_column(words: int) -> Column:
     @F.pandas_udf("bigint")
     def of(text):
         return text.map(lambda t: fingerprint((t or "").encode(), words))
 
-    return docs.withColumn("_fp", of(F.coalesce("text", F.lit(""))))
+    return of(F.coalesce("text", F.lit("")))

@@ -33,8 +33,8 @@ def classes(n, pairs):
     return names
 
 
-@pytest.mark.parametrize("crowd", [1, 16])
-def test_one_of_each_class_stays(make, spark, crowd):
+@pytest.mark.parametrize("leaders", [(), (1,), alike.LEADERS])
+def test_one_of_each_class_stays(make, spark, leaders):
     texts = [edited(prose(200, i % 4), i % 7, i) for i in range(40)]
     chain = prose(120, 30)
     for i in range(12):  # each is near the one before, the last not near the first
@@ -42,7 +42,7 @@ def test_one_of_each_class_stays(make, spark, crowd):
         chain = edited(chain, 1, 100 + i)
     pairs = [(a, b) for b in range(len(texts)) for a in range(b) if near(texts[a], texts[b])]
     want = sorted(set(classes(len(texts), pairs)))
-    got = sorted(r.doc_id for r in alike.keep_one(make(*texts), crowd).collect())
+    got = sorted(r.doc_id for r in alike.keep_one(make(*texts), leaders).collect())
     assert got == want and len(got) < len(texts)
 
 
@@ -53,3 +53,25 @@ def test_stage_drops_near_copies(make, spark, empty):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "3", "6", "7", "9", "None"]
     assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
+
+
+@pytest.mark.parametrize("longs", [1, 4, 16])
+def test_bits_that_differ_are_shingles_that_differ(longs):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        a, b = (set(r.integers(0, 2**64, r.integers(1, 300), dtype=np.uint64).tolist()) for _ in range(2))
+        b |= set(list(a)[: len(a) * 9 // 10])
+        both = [np.array(sorted(v), np.uint64) for v in (a, b)]
+        of = np.repeat([0, 1], [len(a), len(b)])
+        x, y = alike.bit_maps(np.concatenate(both), of, 2, longs).view(np.uint64)
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
+
+
+def test_texts_that_share_a_passage_stay(make):
+    """They meet in many bands without being alike."""
+    shared = prose(60, 5)
+    texts = [shared + " " + prose(90, 1000 + i) for i in range(60)]
+    kept = alike.keep_one(make(*texts, texts[0] + " more"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))

@@ -263,25 +263,25 @@ def test_packing(make, empty):
     assert packing.packed(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1, 16])
-def test_passages(make, empty, crowd):
+@pytest.mark.parametrize("leaders", [(), (1, 3)])
+def test_passages(make, empty, leaders):
     shared = prose(70, 77)
     texts = [prose(120, i) + " " + shared + "\n" + prose(80, 50 + i) for i in range(6)] + [prose(300, 90), "short line " * 3, "short line " * 3]
-    found = passages.repeats(make(*texts), crowd=crowd).collect()
+    found = passages.repeats(make(*texts), leaders=leaders).collect()
     assert {r.doc_id for r in found} == set(range(6))
     assert all(shared.find(texts[r.doc_id][r.start : r.end]) >= 0 for r in found)
     assert all(r.removed == (r.doc_id > 0) for r in found)
     assert passages.repeats(make(*ODD)).count() == passages.repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1, 1000])
-def test_alike_paragraphs_are_linked(make, spark, crowd):
+@pytest.mark.parametrize("leaders", [(), (1, 3)])
+def test_alike_paragraphs_are_linked(make, spark, leaders):
     base = [VOCABULARY[i] for i in range(16)]
     changed = [base, base[1:] + ["zz"], base[:-1] + ["yy"], base[:8] + ["xx"] + base[9:], ["qq"] + base[:15]]
     docs = make(*[" ".join(w) for w in changed])
     found = passages.paragraphs(docs).toPandas()
     distinct = spark.createDataFrame(found.rename(columns={"doc_id": "home"}))
-    links = {tuple(sorted((r.a, r.b))) for r in passages._links(docs, distinct, crowd).collect()}
+    links = {tuple(sorted((r.a, r.b))) for r in passages._links(docs, distinct, leaders).collect()}
     sets = {}
     for w in changed:
         cuts = passages.Cuts(" ".join(w).encode())

@@ -48,8 +48,8 @@ def edited(text, at):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("crowd", [1, 1000])
-def test_classes_of_links_are_those_of_all_near_pairs(make, spark, crowd):
+@pytest.mark.parametrize("leaders", [(), (1, 3)])
+def test_classes_of_links_are_those_of_all_near_pairs(make, spark, leaders):
     texts = [edited(prose(100, i % 3), [5 * i % 40 + k for k in (0, 20, 40)][: i % 4]) for i in range(24)]
     chain = prose(60, 9)
     for i in range(8):  # ends of the chain aren't near
@@ -57,7 +57,7 @@ def test_classes_of_links_are_those_of_all_near_pairs(make, spark, crowd):
         chain = edited(chain, [6 * i + 3])
     docs = make(*texts)
     rows = passages.paragraphs(docs).withColumnRenamed("doc_id", "home").dropDuplicates(["whole"])
-    links = {(r.a, r.b) for r in passages._links(docs, rows, crowd).collect()}
+    links = {(r.a, r.b) for r in passages._links(docs, rows, leaders).collect()}
     sets = {}
     for t in texts:
         cuts = passages.Cuts(t.encode())
