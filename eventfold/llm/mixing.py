@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import running, word_count
+from eventfold.llm.common import folded, running, unfolded, word_count
 from eventfold.operators.loops import cut
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 BLOCK, SHARD_SLOTS, CELLS, ROUNDS, SEED = 32, 4096, 4096, 6, 20240
+#: Slots made by one task, and the most tasks that make some.
+TASK_SLOTS, MOST_TASKS = 250_000, 20_000
 
 
 def targets(
@@ -118,6 +120,7 @@ def mix(
         .select("ix", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
         .withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("at")))
         .withColumn("length", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at")) - F.col("start"))
+        .withColumns({"start": F.col("start").cast("int"), "length": F.col("length").cast("int")})
         .drop("size")
     )
     total = plan.agg(F.sum("quota")).first()[0] or 0
@@ -145,6 +148,8 @@ def _slots(spark, plan: DataFrame, total: int, shard_slots: int, seed: int) -> D
         draws.groupBy(F.floor(F.col("id") / shard_slots).alias("shard"), "ix").agg(F.count("*").alias("drawn"))
     )
     numbered = running(counts, "ix", ["shard"], "drawn", "first")
+    # Few rows become many here: tasks follow the slots made, not the rows read.
+    numbered = numbered.repartition(max(1, min(MOST_TASKS, total // TASK_SLOTS)), "shard", "ix")
     drawn = numbered.select(
         "shard", "ix", F.explode(F.sequence("first", F.col("first") + F.col("drawn") - 1)).alias("j")
     )
@@ -185,18 +190,28 @@ def mixed_texts(docs: DataFrame, cap: int = CAP, **kw) -> DataFrame:
 
     Documents of which no word is taken are left out: that is how a source above its
     target shrinks. The white space after a word stays with it; passes are parted by a
-    line end. Rows are told apart by id, text and source; equal rows share their pieces.
+    line end. Rows are told apart by id, text and source; of equal rows each has its own pieces.
     ``n_chars`` is counted again where there is such a column.
     """
     placed, documents = mix(docs, cap=cap, **kw)
-    spans = placed.groupBy("ix", "at").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "length"))).alias("spans"))
-    keyed = (
-        spans.join(documents.select("ix", "at", "doc_id", "row_key"), ["ix", "at"])
-        .groupBy("doc_id", "row_key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"))
-        .withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key")
-    )
-    rows = docs.withColumn("_row", F.xxhash64("text", "source"))
-    met = rows.join(keyed, rows["doc_id"].eqNullSafe(keyed["_id"]) & (F.col("_row") == F.col("_key")))
+    spans = placed.groupBy("ix", "at").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "length"))).alias("_spans"))
+    keys = documents.select("ix", "at", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    rows = folded(docs, doc_id=F.col("doc_id"), text=F.col("text"), row=F.xxhash64("text", "source"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_key"))
+    # Equal rows are numbered on both sides, so that each has pieces of its own.
+    again = cut(keys.groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = None
+    if not again.isEmpty():
+        known = again.withColumnsRenamed({"_id": "_again", "_key": "_again_key"})
+        repeated = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key"))
+        of_key = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("at"))
+        numbered = keys.join(known, repeated, "left_semi").withColumn("_copy", of_key)
+        keys = keys.join(known, repeated, "left_anti")
+        of_row = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy(F.lit(0)))
+        twins = rows.join(again, same, "left_semi").withColumn("copy", of_row)
+        copies = twins.join(numbered.join(spans, ["ix", "at"]), same & (F.col("copy") == F.col("_copy"))).drop("copy", "_copy")
+    met = rows.join(keys.join(spans, ["ix", "at"]), same)
+    met = met if copies is None else met.unionByName(copies)
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     met = met.withColumn("_words", words)
 
@@ -207,7 +222,8 @@ def mixed_texts(docs: DataFrame, cap: int = CAP, **kw) -> DataFrame:
 
     passes = F.col("_spans.pass")
     text = F.concat_ws("\n", *[F.when(F.array_contains(passes, F.lit(p).cast("long")), of(p)) for p in range(cap)])
-    out = met.withColumn("text", text)
+    met = met.withColumn("text", text)
+    more = {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        more["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return unfolded(met, docs, text=F.col("text"), **more)
