@@ -130,10 +130,41 @@ def sequence_checks(spark, sf):
     return push_results(spark, sf).select("event_uuid", "batch", "line", "outcome")
 
 
-@query("h3_sequence_cuts")
+# One batch of a node after the other: what is recorded so far decides where the next one stops.
+CUTS = {
+    "admitted": """SELECT *, lag(1) OVER (PARTITION BY batch, event_uuid ORDER BY line) IS NOT NULL AS again, max(stream_seq) OVER
+        (PARTITION BY batch, node_uuid, stream_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM (SELECT *, bool_or(actor = 'user:intruder') OVER (PARTITION BY batch) AS refused, min(CASE WHEN workspace_uuid <> workspace
+        OR node_uuid <> author THEN line END) OVER (PARTITION BY batch) AS halt FROM pushes)
+      WHERE NOT refused AND author IN ('N0', 'N1', 'N2') AND (halt IS NULL OR line < halt)""",
+    "requests": """SELECT author, batch, row_number() OVER (PARTITION BY author ORDER BY batch) AS n, list({'id': event_uuid, 'line': line,
+        'stream': stream_id, 'seq': stream_seq, 'before': before, 'again': again} ORDER BY line) AS rs
+      FROM admitted GROUP BY author, batch""",
+    "taken": """WITH RECURSIVE f AS (
+        SELECT DISTINCT author, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS batch,
+          CAST([] AS STRUCT(id VARCHAR, stream VARCHAR, seq BIGINT)[]) AS known,
+          CAST([] AS STRUCT(id VARCHAR, line BIGINT, outcome VARCHAR)[]) AS results FROM requests
+        UNION ALL SELECT author, n, batch, list_concat(known, list_transform(list_filter(rs, lambda r: NOT r.again AND NOT r.had
+            AND (stop IS NULL OR r.line < stop)), lambda r: {'id': r.id, 'stream': r.stream, 'seq': r.seq})),
+          list_transform(rs, lambda r: {'id': r.id, 'line': r.line, 'outcome': CASE WHEN r.line > stop THEN 'not_processed'
+            WHEN r.line = stop THEN 'regression' WHEN r.again OR r.had THEN 'duplicate' ELSE 'durable' END})
+        FROM (SELECT *, list_min(list_transform(list_filter(rs, lambda r: NOT r.again AND NOT r.had
+              AND r.seq <= greatest(coalesce(r.before, -1000000000000), coalesce(r.top, -1000000000000))), lambda r: r.line)) AS stop
+          FROM (SELECT q.author, q.n, q.batch, f.known, list_transform(q.rs, lambda r: {'id': r.id, 'line': r.line, 'stream': r.stream,
+              'seq': r.seq, 'before': r.before, 'again': r.again,
+              'had': len(list_filter(f.known, lambda k: k.id = r.id)) > 0,
+              'top': list_max(list_transform(list_filter(f.known, lambda k: k.stream = r.stream), lambda k: k.seq))}) AS rs
+            FROM f JOIN requests q ON q.author = f.author AND q.n = f.n + 1))
+      ) SELECT batch, unnest(results) AS r FROM f WHERE n > 0""",
+}
+
+
+@query(
+    "h3_sequence_cuts",
+    with_parts(["ev"], "SELECT r.id AS event_uuid, batch, r.line AS line, r.outcome AS outcome FROM taken", {**PUSHES, **CUTS}),
+)
 def sequence_cuts(spark, sf):
-    """The same for whole-batch requests, where a regression drops the rest of its
-    batch. No SQL twin (each cut depends on earlier ones); tests use a one-by-one fold."""
+    """The same for whole-batch requests, where a regression drops the rest of its batch."""
     checked = hub.admission(pushes(spark, sf), *registry_tables(spark, sf))
     return hub.sequence_cuts(checked.where("verdict = 'pass'")).select("event_uuid", "batch", "line", "outcome")
 
