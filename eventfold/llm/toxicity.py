@@ -27,10 +27,11 @@ from eventfold.operators.loops import cut
 #: At most so many labelled rows are learnt from, and so many terms are kept.
 SAMPLE_ROWS, MAX_TERMS = 20_000, 300
 STEMS = (4, 5, 6)
-WINDOW = 6
+WINDOW, QUOTATION = 6, 40
 STRIP = ".,;:!?\"'()[]{}<>|*#&%$«»„“”‚‘’…-_~/\\"
 # Fixed marks and words of quotation and reporting.
-OPENING, CLOSING = "\"“«„‘'", "\"”»“’'"
+PAIRS = {'"': '"', "“": "”", "«": "»", "„": "“”", "‘": "’", "'": "'"}
+CLOSING = "\"”»“’'"
 REPORTING = frozenset("said says wrote called quote quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 
 FEATURES = ["exact", "near", "stem", "quoted", "density", "weight", "worst"]
@@ -148,8 +149,9 @@ class Matcher:
         hit = self.hit
         hits = [(i, found) for i, w in enumerate(words) if (found := hit[w]) is not None]
         exact = near = stem = quoted = weight = worst = 0.0
+        spans = quotations(words) if hits else []
         for i, (term, edits) in hits:
-            if self._quoted(words, i):
+            if self._quoted(words, i, spans):
                 quoted += 1
                 continue
             odds = self.model.odds[term] / (1 + edits)
@@ -164,13 +166,39 @@ class Matcher:
         return [math.log1p(exact), math.log1p(near), math.log1p(stem), math.log1p(quoted), math.log1p(density), min(weight, 40.0) / 5, worst]
 
     @staticmethod
-    def _quoted(words: list[bytes], i: int) -> bool:
-        """In quotation marks that close within the window, or after a reporting word."""
-        before = [w.decode() for w in words[max(0, i - WINDOW) : i + 1]]
-        after = [w.decode() for w in words[i : i + WINDOW + 1]]
-        if any(w[0] in OPENING for w in before) and any(w.rstrip(".,;:!?")[-1:] in tuple(CLOSING) for w in after):
+    def _quoted(words: list[bytes], i: int, spans: list[tuple[int, int]]) -> bool:
+        """Between a pair of quotation marks, or after a reporting word of the same sentence."""
+        if any(a <= i <= b for a, b in spans):
             return True
-        return any(w.lower().strip(STRIP) in REPORTING for w in before[:-1])
+        for w in reversed(words[max(0, i - WINDOW) : i]):
+            w = w.decode()
+            if w.rstrip(CLOSING)[-1:] in (".", "!", "?"):
+                return False
+            if w.lower().strip(STRIP) in REPORTING:
+                return True
+        return False
+
+
+def quotations(words: list[bytes]) -> list[tuple[int, int]]:
+    """First and last words of quotations: a word begins with a mark, and the next word that
+    ends with its partner, ``QUOTATION`` words on at most, closes it."""
+    spans, opened, partner = [], -1, ""
+    for i, word in enumerate(words):
+        if opened < 0 or i - opened >= QUOTATION:
+            opened = -1
+            w = word.decode()
+            if w[0] not in PAIRS:
+                continue
+            opened, partner = i, PAIRS[w[0]]
+            w = w[1:]
+        elif word[-1:].isalnum():
+            continue
+        else:
+            w = word.decode()
+        if w.rstrip(".,;:!?")[-1:] in tuple(partner):
+            spans.append((opened, i))
+            opened = -1
+    return spans
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -213,14 +241,15 @@ def lexicon(sample: DataFrame, toxic: int, clean: int, max_terms: int = MAX_TERM
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 3000, rate: float = 0.2, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias; a toxic text has the say of two. Non-negative, as hits only add."""
+    """Weights and bias; a toxic text has the say of two. Hits only add; quoted ones may count against."""
     w, bias = np.zeros(x.shape[1]), -1.0
+    least = np.where(np.array(FEATURES) == "quoted", -np.inf, 0.0)
     say = np.where(y == 1, 2.0, 1.0)
     say /= say.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x @ w + bias)))
         d = (p - y) * say
-        w = np.maximum(0.0, w - rate * 4 * (x.T @ d + ridge * w))
+        w = np.maximum(least, w - rate * 4 * (x.T @ d + ridge * w))
         bias -= rate * 4 * float(d.sum())
     return w, float(bias)
 
@@ -245,8 +274,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([b.column("label"), *columns], ["label", *FEATURES])
 
-    # At most ``rows`` rows of a few numbers each.
-    seen = sample.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    # At most ``rows`` rows of a few numbers each; in a fixed order, so that reruns agree.
+    seen = sample.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["label", *FEATURES])
     weights, bias = logistic(seen[FEATURES].to_numpy(), seen["label"].to_numpy())
     model.weights, model.bias = weights.tolist(), bias
     return model
