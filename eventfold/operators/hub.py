@@ -245,17 +245,28 @@ def current_reports(reports: DataFrame) -> DataFrame:
 
 
 def replica_lag(stored: DataFrame, reports: DataFrame) -> DataFrame:
-    """High-water mark of each author minus each reporter's cursor for it."""
-    high = stored.groupBy("workspace_uuid", F.col("node_uuid").alias("author")).agg(
-        F.max("hub_offset").alias("high")
-    )
-    reporters = reports.select("workspace_uuid", "reporter").distinct()
-    have = reports.select("workspace_uuid", "reporter", "author", "last_hub_offset")
-    # Every reporter is due an answer for every author of its workspace.
-    due = reporters.join(high, "workspace_uuid")
-    rows = due.join(have, ["workspace_uuid", "reporter", "author"], "left")
-    at = F.coalesce("last_hub_offset", F.lit(0))
-    return rows.select("workspace_uuid", "reporter", "author", "high", at.alias("cursor"), (F.col("high") - at).alias("lag"))
+    """High-water mark of each author minus each reporter's cursor for it.
+
+    Only authors that a reporter names have a row of their own. All others are one row a
+    reporter with no ``author``, ``authors`` being how many, found as what the workspace has
+    less what the reporter has; so the result grows with the reports, not with pairs.
+    """
+    high = stored.groupBy("workspace_uuid", F.col("node_uuid").alias("author")).agg(F.max("hub_offset").alias("high"))
+    sums = high.groupBy("workspace_uuid").agg(F.count(F.lit(1)).alias("all"), F.sum("high").alias("top"))
+    known = reports.join(high, ["workspace_uuid", "author"])
+    seen = known.select(
+        "workspace_uuid", "reporter", "author", F.lit(1).cast("bigint").alias("authors"), "high",
+        F.col("last_hub_offset").alias("cursor"), (F.col("high") - F.col("last_hub_offset")).alias("lag"),
+    )
+    of = ["workspace_uuid", "reporter"]
+    named = known.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.sum("high").alias("sum"))
+    rest = reports.select(*of).distinct().join(sums, "workspace_uuid").join(named, of, "left")
+    authors, top = F.col("all") - F.coalesce("n", F.lit(0)), F.col("top") - F.coalesce("sum", F.lit(0))
+    unseen = rest.where(authors > 0).select(
+        *of, F.lit(None).cast("string").alias("author"), authors.alias("authors"), top.alias("high"),
+        F.lit(0).cast("bigint").alias("cursor"), top.alias("lag"),
+    )
+    return seen.unionByName(unseen)
 
 
 # Local states of an event, the later one wins.

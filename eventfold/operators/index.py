@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventfold.functions.stamps import ULID
 from eventfold.functions.values import URN_SCHEME
 from eventfold.operators.loops import components
-from eventfold.operators.skew import LIST_ITEMS, following_row, list_parts, ordered, position, previous_row
+from eventfold.operators.skew import LIST_ITEMS, following_row, list_parts, ordered, position, previous_row, running_sum
 
 DAY_US = 24 * 3600 * 1_000_000
 # Semantic groups, and the ones that close an item.
@@ -226,24 +226,34 @@ def attention_queue(items: DataFrame, questions: DataFrame, state: str = "Needs
     )
 
 
-def resolve_references(refs: DataFrame, items: DataFrame, scheme: str = URN_SCHEME) -> DataFrame:
+def prefix_matches(wanted: DataFrame, items: DataFrame, rows_per_split: int | None = None) -> DataFrame:
+    """``(ref, n, id)`` of the prefixes ``ref`` that items have: how many, and the least id.
+
+    The ids that begin with a prefix are an interval of the sorted ids. Ids and the two ends
+    of each interval are ranked in one ordered scan; the count is a difference of ranks.
+    """
+    low = wanted.select(F.col("ref").alias("at"), F.lit(0).alias("side"), "ref")
+    high = wanted.select(F.concat("ref", F.lit("\U0010ffff")).alias("at"), F.lit(2).alias("side"), "ref")
+    ids = items.select(F.col("entity_uuid").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("ref"))
+    order = [F.col("at"), F.col("side"), F.col("ref")]
+    before = running_sum((F.col("side") == 1).cast("bigint"))
+    ranked = ordered(low.unionByName(ids).unionByName(high), [], order, {"rank": before}, rows_per_split)
+    ends = ranked.where("side <> 1").groupBy("ref").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("high > low")
+    first = ranked.where("side = 1").select((F.col("rank") - 1).alias("low"), F.col("at").alias("id"))
+    return ends.join(first, "low").select("ref", (F.col("high") - F.col("low")).alias("n"), "id")
+
+
+def resolve_references(
+    refs: DataFrame, items: DataFrame, scheme: str = URN_SCHEME, rows_per_split: int | None = None
+) -> DataFrame:
     """References (``ref``) to items: id, unique id prefix, URN or identifier.
 
-    Every form is an equi-join. For prefixes items are counted per prefix first (only
-    lengths that occur), so a short prefix of very many ids is one row, not many.
-    The best form wins; more than one candidate in it leaves the reference open.
+    Ids are unique. Every form but the prefix is an equi-join. The best form wins; more than
+    one candidate in it leaves the reference open.
     """
     wanted = refs.select("ref").distinct()
     urn = F.regexp_extract("ref", f"^{scheme}:[a-z]+:(.+)$", 1)
-    # At most 25 lengths: one array for the whole query.
-    lengths = wanted.where(F.length("ref") < 26).agg(F.collect_set(F.length("ref"))).scalar()
-    prefixes = (
-        items.select("entity_uuid", F.explode(lengths).alias("len"))
-        .select(F.substring("entity_uuid", F.lit(1), F.col("len")).alias("ref"), "entity_uuid")
-        .join(wanted, "ref", "left_semi")
-        .groupBy("ref")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("entity_uuid").alias("id"))
-    )
+    prefixes = prefix_matches(wanted.where((F.length("ref") < 26) & (F.length("ref") > 0)), items, rows_per_split)
     one = lambda df, rank, form: df.select("ref", F.lit(rank).alias("rank"), F.lit(form).alias("form"), "n", "id")
     exact = wanted.join(items.select(F.col("entity_uuid").alias("ref")), "ref").select(
         "ref", F.lit(1).alias("n"), F.col("ref").alias("id")
@@ -254,7 +264,7 @@ def resolve_references(refs: DataFrame, items: DataFrame, scheme: str = URN_SCHE
     )
     found = (
         one(exact, 1, "id")
-        .unionByName(one(wanted.join(prefixes, "ref"), 2, "prefix"))
+        .unionByName(one(prefixes, 2, "prefix"))
         .unionByName(one(by_urn, 3, "urn"))
         .unionByName(one(wanted.join(named, "ref"), 4, "identifier"))
         .groupBy("ref")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from eventfold.operators import hub, snapshots
+from eventfold.operators import hub, index, snapshots
 from eventfold.operators.loops import components, layers
 
 
@@ -154,3 +154,29 @@ def test_every_project_below_the_bound_needs_its_snapshot(spark):
     }
     assert decide([("P1", 5), ("P2", 4)])["mid"] == ("compact", 3)
     assert decide([("P1", 9), ("P2", 9)])["top"] == ("no_snapshot", 0)
+
+
+def test_lag_has_a_row_for_each_report_and_one_for_the_rest(spark):
+    stored = spark.createDataFrame(
+        [("W", a, n) for a, n in (("A", 5), ("A", 9), ("B", 7), ("C", 3))], "workspace_uuid string, node_uuid string, hub_offset bigint"
+    )
+    reports = spark.createDataFrame(
+        [("W", "r", "A", 4), ("W", "s", "A", 9), ("W", "s", "B", 1), ("W", "s", "C", 3)],
+        "workspace_uuid string, reporter string, author string, last_hub_offset bigint",
+    )
+    got = {(r.reporter, r.author): (r.authors, r.high, r.cursor, r.lag) for r in hub.replica_lag(stored, reports).collect()}
+    assert got == {
+        ("r", "A"): (1, 9, 4, 5), ("r", None): (2, 10, 0, 10),
+        ("s", "A"): (1, 9, 9, 0), ("s", "B"): (1, 7, 1, 6), ("s", "C"): (1, 3, 3, 0),
+    }
+
+
+def test_prefixes_are_intervals(spark):
+    pick = random.Random(3)
+    ids = sorted({"".join(pick.choice("abz") for _ in range(6)) for _ in range(200)})
+    refs = [*{x[: pick.randint(1, 6)] for x in ids}, "q", "b~", "zzzzzzz"]
+    items = spark.createDataFrame([(x,) for x in ids], "entity_uuid string")
+    wanted = spark.createDataFrame([(r,) for r in refs], "ref string")
+    want = {r: (len(m), m[0]) for r in refs if (m := [x for x in ids if x.startswith(r)])}
+    for split in (None, 9):
+        assert {r.ref: (r.n, r.id) for r in index.prefix_matches(wanted, items, split).collect()} == want
