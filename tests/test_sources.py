@@ -188,6 +188,12 @@ def test_log_append_is_idempotent(spark):
     logs.write(logs.new_events(log.limit(12).union(log.limit(5)), None), path)
     logs.write(logs.new_events(log, spark.read.parquet(path)), path)
     assert logs.scan(spark, path).count() == 20 and logs.scan(spark, path, "Q").count() == 0
+    stored, few = spark.read.parquet(path), log.where("hlc_us < 20000000000")
+    met = logs.days_met(stored, few)
+    assert {str(r.day) for r in met.select("day").distinct().collect()} == {"1970-01-01"}
+    filters = met._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+    assert "day" in filters.split("]")[0]  # folders of other days aren't listed
+    assert logs.new_events(few, stored).count() == 0 and logs.new_events(log.limit(0), stored).count() == 0
 
 
 def test_ulid_time(spark):
