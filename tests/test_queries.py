@@ -12,7 +12,7 @@ SOME = [
     "o1_canonical_order", "r1_lww_register", "r10_item_view", "c1_or_set", "c6_counters", "d1_comments",
     "d7_relation_attributes", "d11_progress_log", "v2_schema_fields", "v14_conflict_log", "v21_rule_breaches",
     "h1_append_offsets", "h2_admission", "k5_watermark", "q3_blocked_work", "q11_references", "s5_payload_decode",
-    "t7_expired_leases",
+    "t7_expired_leases", "p1_state", "p2_outcomes", "v11_type_mismatches", "v16_revalidation", "v2_schema_over_time", "h3_sequence_cuts",
 ]
 NAMES = list(entry.queries()) if os.environ.get("EVENTFOLD_ALL") else SOME
 
