@@ -11,9 +11,10 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
-def test_line_rules_match_sql(spark):
-    df = entry.queries()["op2_line_rules"](spark, SF)
-    cursor = connect(SF).execute(entry.oracle_sql()["op2_line_rules"])
+@pytest.mark.parametrize("name", ["op2_line_rules", "op11_divergence", "op12_topk", "op13_infill"])
+def test_queries_match_sql(spark, name):
+    df = entry.queries()[name](spark, SF)
+    cursor = connect(SF).execute(entry.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cursor.fetchall())
