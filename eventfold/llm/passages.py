@@ -96,18 +96,18 @@ def with_neighbours(whole: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, n
 
 
 def pieces_and_paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, no, start, end, words, whole, line, n, bands, sketch)``, from one reading.
+    """``(doc_id, row_key, no, last, start, end, words, whole, n, bands, sketch)``, from one reading.
 
     ``start`` and ``end`` are in code points. Null and empty texts have no row. Pieces have
-    the hash of their paragraph as ``line``, and no ``bands``; every piece has a row of its
+    their number as ``no`` and ``last``, and no ``bands``; every piece has a row of its
     own, also where its paragraph has just this piece. Pieces under five words repeat by
     chance, so a short one counts together with the one before and with the one after it:
-    one row for each, with the words of both in ``whole``. Paragraphs have rows with set
-    size ``n`` and ``bands`` where they can be alike without being equal.
+    one row for each, with the words of both in ``whole``. Paragraphs have rows with their
+    first and last piece, set size ``n`` and ``bands`` where they can be alike without being equal.
     """
     rows = texts(docs).withColumn("row_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "row_key", "no", "start", "end", "words", "whole", "line", "n", "bands", "sketch"]
+    names = ["doc_id", "row_key", "no", "last", "start", "end", "words", "whole", "n", "bands", "sketch"]
 
     def run(batches):
         for b in batches:
@@ -120,40 +120,39 @@ def pieces_and_paragraphs(docs: DataFrame) -> DataFrame:
                 if not text.isascii():
                     signs = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
 
-                def add(no, firsts, lasts, whole, line, n):
+                def add(no, last, firsts, lasts, whole, n):
                     begin, end = cuts.begins[firsts], cuts.ends[lasts - 1]
                     if signs is not None:
                         begin, end = signs[begin], signs[end]
                     take.append(np.full(len(no), i))
-                    for column, value in zip(parts, (no, begin, end, lasts - firsts, whole, line, n), strict=True):
+                    for column, value in zip(parts, (no, last, begin, end, lasts - firsts, whole, n), strict=True):
                         column.append(value)
 
                 firsts, lasts = cuts.pieces, np.append(cuts.pieces[1:], cuts.n)
-                whole = cuts.whole()
                 some, own = with_neighbours(cuts.whole(firsts), lasts - firsts < MIN_WORDS)
-                of = np.searchsorted(cuts.firsts, firsts[some], "right") - 1
-                add(some, firsts[some], lasts[some], own, whole[of], np.zeros(len(some), np.int64))
+                add(some, some, firsts[some], lasts[some], own, np.zeros(len(some), np.int64))
                 bands += [None] * len(some)
                 sketches += [None] * len(some)
                 some = np.flatnonzero(cuts.lasts - cuts.firsts >= SHINGLE + MIN_SHINGLES - 1)
                 if len(some):
                     n, keys, maps = cuts.sketches(some)
-                    add(some, cuts.firsts[some], cuts.lasts[some], whole[some], whole[some], n)
+                    ends = [np.searchsorted(cuts.pieces, at[some]) for at in (cuts.firsts, cuts.lasts)]
+                    add(ends[0], ends[1] - 1, cuts.firsts[some], cuts.lasts[some], cuts.whole()[some], n)
                     bands += list(keys.view(np.int64))
                     sketches += list(maps)
             if not take:
                 continue
             at = pa.array(np.concatenate(take), pa.int32())
             columns = [np.concatenate(p) for p in parts]
-            small = [pa.array(c.astype(np.int32)) for c in columns[:4]]
-            large = [pa.array(c.view(np.int64)) for c in columns[4:6]]
+            small = [pa.array(c.astype(np.int32)) for c in columns[:5]]
+            large = [pa.array(columns[5].view(np.int64))]
             lists = pa.list_(pa.int64())
             last = [pa.array(columns[6].astype(np.int32)), pa.array(bands, lists), pa.array(sketches, lists)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *small, *large, *last], names)
 
     return rows.mapInArrow(
         run,
-        f"doc_id {kind}, row_key long, no int, start int, end int, words int, whole long, line long, n int, bands array<long>, sketch array<long>",
+        f"doc_id {kind}, row_key long, no int, last int, start int, end int, words int, whole long, n int, bands array<long>, sketch array<long>",
     )
 
 
@@ -189,17 +188,19 @@ def _links(docs: DataFrame, distinct: DataFrame, leaders: tuple[int, ...]) -> Da
         homes = distinct.join(wanted, "whole", "left_semi").groupBy(F.col("home").alias("doc_id"))
         return shingle_sets(docs, homes.agg(F.collect_set("whole").alias("wholes"))).dropDuplicates(["whole"])
 
-    return alike.links(distinct.select("whole", "n", "bands", "sketch"), sets_of, leaders, LONGS)
+    # Half of a key tells bands apart as well: paragraphs that meet by chance fail their sketches.
+    short = F.transform("bands", lambda key: F.shiftright(key, 32).cast("int"))
+    return alike.links(distinct.select("whole", "n", short.alias("bands"), "sketch"), sets_of, leaders, LONGS)
 
 
 def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """Passages that stand in two documents or more, one row for each place.
 
     ``(doc_id, start, end, n_words, clusters, first_doc, removed)``: ``clusters`` are the
-    ids of the clusters of its pieces in order (of a piece's paragraph or of equal pieces,
-    which of them came first), ``first_doc`` the least id of a document that
+    ids of the clusters of its parts in order (of a paragraph with near copies, else of equal
+    pieces), ``first_doc`` the least id of a document that
     has the first of them, and ``removed`` tells whether a document with a lower id keeps
-    all of the passage's pieces. Shorter runs of repeated pieces are ordinary
+    all of the passage's parts. Shorter runs of repeated pieces are ordinary
     lines and are left alone. Repeats within one document don't count. Null and empty
     texts have no passage; documents without an id are left out; rows of one id are one
     document; other columns are ignored.
@@ -212,22 +213,27 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS, leaders: tuple[
     named = components(_links(docs, distinct, leaders)).withColumnRenamed("id", "whole")
     near = cut(distinct.select("whole", "home", "last").join(named, "whole"))
     spread = near.groupBy("cluster").agg(F.min("home").alias("first"), F.max("last").alias("last"))
-    near = cut(near.join(spread.where("first < last").drop("last"), "cluster").select(F.col("whole").alias("line"), "cluster", "first"))
-    pieces = found.where(F.col("bands").isNull()).select("doc_id", "row_key", "no", "start", "end", "words", "whole", "line")
+    near = cut(near.join(spread.where("first < last").drop("last"), "cluster").select("whole", "cluster", "first"))
+    place = ["doc_id", "row_key", "no", "last", "start", "end", "words"]
+    pieces = found.where(F.col("bands").isNull()).select(*place, "whole")
     same = cut(
         pieces.groupBy("whole").agg(*homes).where("home < last").select(
             "whole", F.col("whole").alias("cluster"), F.col("home").alias("first")
         )
     )
-    rows = pieces.join(same, "whole").drop("whole", "line").unionByName(pieces.join(near, "line").drop("whole", "line"))
-    # Equal rows of a document are one, and so are the rows of a piece; the window then needs
+    rows = pieces.join(same, "whole").unionByName(found.where(F.col("bands").isNotNull()).select(*place, "whole").join(near, "whole"))
+    # Equal rows of a document are one, and so are the rows of a piece; the windows then need
     # no other exchange.
     rows = (
-        rows.repartition("doc_id", "row_key").groupBy("doc_id", "row_key", "no", "start", "end", "words")
-        .agg(F.min(F.struct("first", "cluster")).alias("least")).select("*", "least.first", "least.cluster")
+        rows.repartition("doc_id", "row_key").groupBy(*place)
+        .agg(F.min(F.struct("first", "cluster")).alias("least")).select(*place, "least.first", "least.cluster")
     )
-    in_doc = Window.partitionBy("doc_id", "row_key").orderBy("no")
-    runs = rows.withColumn("run", F.col("no") - F.row_number().over(in_doc))
+    # A paragraph stands for its pieces; a run goes on as long as numbers do.
+    in_doc = Window.partitionBy("doc_id", "row_key").orderBy("no", F.desc("last"))
+    past = F.max("last").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("past", past).where("past is null or last > past")
+    new = (F.col("past").isNull() | (F.col("no") > F.col("past") + 1)).cast("int")
+    runs = rows.withColumn("run", F.sum(new).over(in_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     passages = runs.groupBy("doc_id", "row_key", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
         F.array_sort(F.collect_list(F.struct("no", "cluster", "first"))).alias("parts"),
