@@ -18,7 +18,7 @@ COLUMNS = {
     "value": "string", "delta": "bigint", "comment_uuid": "string", "relation_uuid": "string", "from_uuid": "string",
     "to_uuid": "string", "schema_body": "string", "policy": "string", "given_version": "bigint", "field_kind": "string",
     "required": "boolean", "enum_name": "string", "type_name": "string", "new_field": "string", "enum_value": "string",
-    "new_value": "string", "relation_kind": "string", "arrival": "bigint",
+    "new_value": "string", "relation_kind": "string", "arrival": "bigint", "state_key": "string",
 }
 ACCEPTS = {
     "text": "string", "enum": "string", "number": "integer", "counter": "integer", "decimal": "decimal", "boolean": "boolean",
