@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventfold.operators.leases import CLAIM, RELEASE, episodes
-from eventfold.streaming.reduction import bucket, run_batches, unseen
+from eventfold.streaming.reduction import bucket, by_folder, run_batches, unseen
 from eventfold.streaming.tables import close, read_part, write_part
 
 LEASE = ["entity_uuid", "event_uuid", "executor", "start_us", "end_us"]
@@ -27,8 +27,8 @@ def start_leases(events: DataFrame, path: str, checkpoint: str, until_done: bool
         spark = batch.sparkSession
         turns = batch.where(F.col("kind").isin(CLAIM, RELEASE))
         fresh = unseen(spark, turns, path, batch_id).withColumn("bucket", bucket()).persist()
-        write_part(fresh.select("event_uuid", "day"), path, "ledger", batch_id, "day")
-        write_part(fresh.drop("day"), path, "turns", batch_id, "bucket")
+        write_part(by_folder(fresh.select("event_uuid", "day"), "day"), path, "ledger", batch_id, "day")
+        write_part(by_folder(fresh.drop("day"), "bucket"), path, "turns", batch_id, "bucket")
         clock = _latest(spark, path, "clock", batch_id)
         seen = fresh.select(F.max("hlc_us").alias("now"))
         now = seen if clock is None else seen.unionByName(clock).agg(F.max("now").alias("now"))
