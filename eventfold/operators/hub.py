@@ -269,6 +269,19 @@ def replica_lag(stored: DataFrame, reports: DataFrame) -> DataFrame:
     return seen.unionByName(unseen)
 
 
+def pair_lag(stored: DataFrame, reports: DataFrame) -> DataFrame:
+    """``replica_lag`` in full: one row for every reporter and every author of its workspace.
+
+    An author that a reporter doesn't name counts from 0.
+    """
+    high = stored.groupBy("workspace_uuid", F.col("node_uuid").alias("author")).agg(F.max("hub_offset").alias("high"))
+    due = reports.select("workspace_uuid", "reporter").distinct().join(high, "workspace_uuid")
+    have = reports.select("workspace_uuid", "reporter", "author", "last_hub_offset")
+    at = F.coalesce("last_hub_offset", F.lit(0))
+    rows = due.join(have, ["workspace_uuid", "reporter", "author"], "left")
+    return rows.select("workspace_uuid", "reporter", "author", "high", at.alias("cursor"), (F.col("high") - at).alias("lag"))
+
+
 # Local states of an event, the later one wins.
 LOCAL_STATES = ("fetched", "persisted", "reduced", "quarantined", "conflicted")
 

@@ -344,19 +344,16 @@ def current_reports(spark, sf):
     "h12_replica_lag",
     with_parts(
         ["changes"],
-        """SELECT 'W0' AS workspace_uuid, reporter, CASE WHEN named THEN author END AS author, count(*) AS authors,
-          CAST(sum(high) AS BIGINT) AS high, CAST(sum(cursor) AS BIGINT) AS cursor, CAST(sum(high - cursor) AS BIGINT) AS lag
-        FROM (SELECT p.reporter, h.author, high, c.author IS NOT NULL AS named, coalesce(c.last_hub_offset, 0) AS cursor
-          FROM (SELECT DISTINCT reporter FROM reports) p,
-            (SELECT node_uuid AS author, max(hub_offset) AS high FROM changes GROUP BY node_uuid) h
-          LEFT JOIN current_reports c ON c.reporter = p.reporter AND c.author = h.author)
-        GROUP BY reporter, CASE WHEN named THEN author END""",
+        """SELECT 'W0' AS workspace_uuid, p.reporter, h.author, high, coalesce(c.last_hub_offset, 0) AS cursor,
+          high - coalesce(c.last_hub_offset, 0) AS lag FROM (SELECT DISTINCT reporter FROM reports) p,
+          (SELECT node_uuid AS author, max(hub_offset) AS high FROM changes GROUP BY node_uuid) h
+        LEFT JOIN current_reports c ON c.reporter = p.reporter AND c.author = h.author""",
         FULL,
     ),
 )
 def replica_lag(spark, sf):
-    """How far each replica is behind each author it names, and behind all others together."""
-    return hub.replica_lag(stored_log(spark, sf), hub.current_reports(reports(spark, sf)))
+    """How far each replica is behind each author."""
+    return hub.pair_lag(stored_log(spark, sf), hub.current_reports(reports(spark, sf)))
 
 
 @query(

@@ -180,3 +180,14 @@ def test_prefixes_are_intervals(spark):
     want = {r: (len(m), m[0]) for r in refs if (m := [x for x in ids if x.startswith(r)])}
     for split in (None, 9):
         assert {r.ref: (r.n, r.id) for r in index.prefix_matches(wanted, items, split).collect()} == want
+
+
+def test_lag_in_full_has_a_row_for_every_reporter_and_author(spark):
+    stored = spark.createDataFrame(
+        [("W", a, n) for a, n in (("A", 5), ("A", 9), ("B", 7))], "workspace_uuid string, node_uuid string, hub_offset bigint"
+    )
+    reports = spark.createDataFrame(
+        [("W", "r", "A", 4), ("W", "s", "B", 1)], "workspace_uuid string, reporter string, author string, last_hub_offset bigint"
+    )
+    got = {(r.reporter, r.author): (r.high, r.cursor, r.lag) for r in hub.pair_lag(stored, reports).collect()}
+    assert got == {("r", "A"): (9, 4, 5), ("r", "B"): (7, 0, 7), ("s", "A"): (9, 0, 9), ("s", "B"): (7, 1, 6)}
