@@ -3,8 +3,10 @@
 In every pair one text is labelled good and one bad. The chance that the good one is
 preferred is the logistic function of the difference of their scores, a score is linear in
 the features of a text, and the weights minimise the logistic loss over the differences of
-features. A quantile of the scores of the sample, at the share of bad texts, is the
-threshold.
+features. A quantile of the scores of the training rows, at the share of bad texts, is the
+threshold. All labelled training rows count: each row of the larger class stands in
+``TURNS`` pairs, the sums of every Newton step are made in the tasks, and the driver holds
+sums and weights only.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.llm.common import labelled_sample, texts
+from eventfold.operators.loops import cut
+from eventfold.operators.skew import ordered, position
 
-SAMPLE_ROWS, PAIRS, SEED = 20_000, 100_000, 11
+# Pairs of a row of the larger class, and the most Newton steps.
+TURNS, STEPS = 4, 30
 #: The score that stands for the threshold.
 CUT = 0.3
 FEATURES = [
@@ -78,42 +83,102 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.threshold + math.log(CUT / (1 - CUT)), -40, 40)))
 
 
-def bradley_terry(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Weights by gradient descent on the logistic loss of feature differences."""
-    rng = np.random.default_rng(SEED)
-    d = x[rng.choice(np.flatnonzero(good), pairs)] - x[rng.choice(np.flatnonzero(~good), pairs)]
-    w = np.zeros(x.shape[1])
-    step = 4 / max(1e-9, np.linalg.norm(d.T @ d / pairs, 2))
-    for _ in range(rounds):
-        miss = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # the chance given to the wrong order
-        w += step * (d.T @ miss / pairs - ridge * w)
+def paired(rows: DataFrame) -> DataFrame:
+    """``(good, bad)`` features of pairs: every row of the larger class meets ``TURNS`` of the
+    other, dealt round by the places of both in the order of their id hashes."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+    placed = cut(ordered(rows, ["label"], order, {"place": position()}).select("label", "x", F.col("place") - 1).toDF("label", "x", "place"))
+    counts = {r["label"]: r["n"] for r in placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = 1 if counts[1] >= counts[0] else 0
+    few = counts[1 - many]
+    turn = F.explode(F.sequence(F.lit(0), F.lit(min(TURNS, few) - 1)))
+    left = placed.where(F.col("label") == many).select("x", "place", turn.alias("turn"))
+    left = left.select("x", ((F.col("place") + F.col("turn") * max(1, few // TURNS)) % few).alias("place"))
+    met = left.join(placed.where(F.col("label") == 1 - many).select(F.col("x").alias("y"), "place"), "place")
+    good, bad = ("x", "y") if many else ("y", "x")
+    return met.select(F.col(good).alias("good"), F.col(bad).alias("bad"))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=float).reshape(-1, len(FEATURES))
+
+
+def bradley_terry(pairs: DataFrame, mean: np.ndarray, scale: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of feature differences: Newton steps, halved
+    where the loss would rise."""
+    size = len(FEATURES)
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches):
+            total = np.zeros(2 + size + size * size)
+            for b in batches:
+                x, y = (((_matrix(b.column(c)) - mean) / scale).clip(-8, 8) for c in ("good", "bad"))
+                d = x - y
+                miss = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # the chance given to the wrong order
+                total[0] += len(d)
+                total[1] += np.logaddexp(0, -(d @ w)).sum()
+                total[2 : 2 + size] += d.T @ miss
+                total[2 + size :] += (d.T @ (d * (miss * (1 - miss))[:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+
+        rows = pairs.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        v = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
+        n = v[0]
+        hessian = v[2 + size :].reshape(size, size) / n + ridge * np.eye(size)
+        return v[1] / n + ridge / 2 * float(w @ w), v[2 : 2 + size] / n - ridge * w, hessian
+
+    w = np.zeros(size)
+    loss, down, hessian = sums(w)
+    step = np.linalg.solve(hessian, down)
+    for _ in range(STEPS):
+        tried = sums(w + step)
+        if tried[0] <= loss:
+            w, (loss, down, hessian) = w + step, tried
+            step = np.linalg.solve(hessian, down)
+        else:
+            step = step / 2
+        if np.abs(step).max() < 1e-7:
+            break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The model of at most ``rows`` labelled training rows (``labels.quality``).
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of all labelled training rows (``labels.quality``).
 
-    The driver gets that many rows of a few numbers. With labels of one kind only all
-    scores are equal: ``CUT``.
+    With labels of one kind only all scores are equal: ``CUT``.
     """
 
     def run(batches):
         for b in batches:
             found = [features((t or "").encode()) for t in b.column("text").to_pylist()]
-            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([b.column("label"), *columns], ["label", *FEATURES])
-
-    sample = labelled_sample(docs, labels, "quality", rows).select("text", F.col("label").cast("int").alias("label"))
-    seen = sample.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    good = seen["label"].to_numpy() == 1
-    if not good.any() or good.all():
+            x = pa.array(found, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("doc_id"), b.column("text_hash"), x], ["label", "doc_id", "text_hash", "x"])
+
+    known = labelled_sample(docs, labels, "quality").select(
+        F.col("text"), F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), F.col("doc_id").cast("string").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    seen = cut(known.mapInArrow(run, "label int, doc_id string, text_hash bigint, x array<double>"))
+    columns = [F.col("x")[i] for i in range(len(FEATURES))]
+    made = seen.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"),
+        F.array(*[F.avg(c) for c in columns]).alias("mean"), F.array(*[F.stddev_pop(c) for c in columns]).alias("scale"),
+    ).first()
+    if not 0 < made["good"] < made["n"]:
         return Model()
-    # The order of rows is that of the values, so the model doesn't hang on partitions.
-    seen = seen.sort_values(["label", *FEATURES], ignore_index=True)
-    good, x = seen["label"].to_numpy() == 1, seen[FEATURES].to_numpy()
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    model = Model(mean.tolist(), scale.tolist(), bradley_terry(((x - mean) / scale).clip(-8, 8), good).tolist())
-    model.threshold = float(np.quantile(model.raw(x), 1 - good.mean(), method="midpoint"))
+    # Rounded, so that the model doesn't hang on the order in which sums are made.
+    mean, scale = np.round(made["mean"], 9), np.round(np.array(made["scale"]) + 1e-6, 9)
+    model = Model(mean.tolist(), scale.tolist(), np.round(bradley_terry(cut(paired(seen)), mean, scale), 9).tolist())
+
+    def raw(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(b.column("x"))), pa.float64())], ["raw"])
+
+    at = (made["n"] - 1) * (1 - made["good"] / made["n"])
+    scores = cut(seen.select("x").mapInArrow(raw, "raw double"))
+    placed = ordered(scores, [], [F.col("raw")], {"place": position()})
+    near = placed.where(F.col("place").isin(math.floor(at) + 1, math.ceil(at) + 1)).agg(F.avg("raw").alias("raw")).first()
+    model.threshold = float(near["raw"])
     return model
 
 

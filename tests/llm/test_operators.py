@@ -350,3 +350,13 @@ def test_random_keys_are_added(make):
         got = {(r.doc_id, r.spans) for r in secrets.scan(docs).select("doc_id", secrets.listed("spans").alias("spans")).collect()}
         assert {(i, f"markov:4:{4 + len(k)}") for i, k in enumerate(keys)} <= got
         assert {(r, "") for r in range(3, 4 + len(more))} <= got
+
+
+def test_quality_pairs_hold_every_row(spark):
+    rows = spark.createDataFrame(
+        [(int(i % 7 > 0), str(i), i, [float(i)]) for i in range(70)], "label int, doc_id string, text_hash bigint, x array<double>"
+    )
+    pairs = [(r.good[0], r.bad[0]) for r in quality.paired(rows).collect()]
+    assert len(set(pairs)) == len(pairs) == 60 * quality.TURNS
+    assert {int(g) for g, _ in pairs} == {i for i in range(70) if i % 7}
+    assert {int(b) for _, b in pairs} == set(range(0, 70, 7))
