@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each on what the one before kept.
 
 1. toxicity: documents scored 0.5 or more go.
-2. near_duplicates: one document of each class of texts stays whose five-word shingles have a
-   Jaccard likeness of 0.8 or more.
+2. near_duplicates: one document of each SimHash component stays, as in op1; of these, one of
+   each class of texts whose five-word shingles have a Jaccard likeness of 0.8 or more.
 3. secrets: found secrets are masked in the texts; no document goes.
 4. mixing: sources are brought to their target weights; texts hold the words taken.
 5. packing: pieces of at most 2048 tokens and their places in full sequences.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.llm import alike, mixing, packing, secrets, toxicity
+from eventfold.llm import alike, mixing, packing, secrets, simhash, toxicity
 from eventfold.llm.common import table
 from eventfold.operators.loops import cut
 
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return alike.keep_one(docs)
+    return alike.keep_one(simhash.keep_one(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,11 @@ def test_texts_that_share_a_passage_stay(make):
     texts = [shared + " " + prose(90, 1000 + i) for i in range(60)]
     kept = alike.keep_one(make(*texts, texts[0] + " more"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def test_stage_drops_what_simhash_links(make, spark):
+    # One shingle makes up most of both texts: one fingerprint, though few five-word shingles are common.
+    docs = make("x " * 30, "x " * 30 + "one two three four five six", prose(300, 5))
+    assert sorted(r.doc_id for r in alike.keep_one(docs).collect()) == [0, 1, 2]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2] and kept.columns == docs.columns
