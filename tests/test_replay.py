@@ -396,3 +396,22 @@ def test_findings_follow_the_events_of_items(spark, monkeypatch):
     scans = {(r.event_uuid, r.conflict_type): r.findings for r in R.revalidations(done).collect()}
     assert scans["021", "field_type_mismatch"] == 20 and ("022", "field_type_mismatch") not in scans
     assert scans["060", "missing_required_field"] == 20
+
+
+def test_only_what_is_read_of_an_event_is_moved(spark, monkeypatch):
+    """Columns for other operators and schema texts are written once, with the events."""
+    wide, written = {"state_key", "new_value", "from_uuid"}, []
+    plain = R.cut
+
+    def noting(df):
+        written.append(wide & set(df.columns))
+        return plain(df)
+
+    monkeypatch.setattr(R, "cut", noting)
+    monkeypatch.setattr("eventfold.operators.skew.cut", noting)
+    log = random_log(5, 60)
+    done = R.replay(frame(spark, log + log[::3]), 7)
+    # The events; the schema events, as they are read; nothing else.
+    assert [w for w in written if "state_key" in w] == [wide]
+    assert [w for w in written if "from_uuid" in w] == [wide]
+    assert done.events.count() == len(log) and wide <= set(done.accepted.columns)

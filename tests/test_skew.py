@@ -63,3 +63,17 @@ def test_lists_are_bounded_and_whole(spark):
         assert [x for r in rows if r.k == "a" for x in r.m] == sorted(str(n) for n in range(500))
         assert [(r.part, len(r.m)) for r in rows if r.k == "a"] == [(p, 50) for p in range(10)]
         assert [(r.part, r.m) for r in rows if r.k == "b"] == [(0, ["x"])]
+
+
+@pytest.mark.parametrize("limit", [7, 10_000])
+def test_numbered_is_the_place_in_the_whole_order(spark, limit):
+    pick = random.Random(limit)
+    rows = [(pick.choice([None, *range(4)]), n) for n in range(200)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "a bigint, id bigint")
+    got = skew.numbered(df, [F.col("a"), F.col("id")], "place", len(rows), limit)
+    assert got.columns == ["a", "id", "place"]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [tuple(r)[:2] for r in got.orderBy("place").collect()] == want
+    assert sorted(r.place for r in got.collect()) == list(range(1, 201))
+    assert skew.numbered(df.limit(0), [F.col("id")], "place", 0, limit).count() == 0
