@@ -11,6 +11,7 @@ sums and weights only.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 from operator import eq
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import labelled_sample, texts
+from eventfold.llm.common import held_out, texts, training_labels
 from eventfold.operators.loops import cut
 from eventfold.operators.skew import ordered, position
 
@@ -150,15 +151,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches):
         for b in batches:
-            found = [features((t or "").encode()) for t in b.column("text").to_pylist()]
-            x = pa.array(found, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("doc_id"), b.column("text_hash"), x], ["label", "doc_id", "text_hash", "x"])
-
-    known = labelled_sample(docs, labels, "quality").select(
-        F.col("text"), F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), F.col("doc_id").cast("string").alias("doc_id"),
-        F.xxhash64("text").alias("text_hash"),
+            read = b.column("text").cast(pa.binary()).to_pylist()
+            x = pa.array([features(t) for t in read], pa.list_(pa.float64()))
+            same = pa.array([hashlib.sha256(t).digest() for t in read], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), same, x], ["doc_id", "text_hash", "same", "x"])
+
+    # Texts are read where they lie; ids, digests and features are what is joined and grouped.
+    rows = texts(docs).where(F.col("doc_id").isNotNull() & ~held_out()).withColumn("text_hash", F.xxhash64("text"))
+    of_id = rows.schema["doc_id"].dataType.simpleString()
+    read = rows.mapInArrow(run, f"doc_id {of_id}, text_hash bigint, same binary, x array<double>")
+    known = read.join(training_labels(labels, "quality").hint("merge"), "doc_id").groupBy("same").agg(
+        F.when(F.max("label") == 1, 1).otherwise(0).alias("label"), F.min("doc_id").cast("string").alias("doc_id"),
+        F.first("text_hash").alias("text_hash"), F.first("x").alias("x"),
     )
-    seen = cut(known.mapInArrow(run, "label int, doc_id string, text_hash bigint, x array<double>"))
+    seen = cut(known.drop("same"))
     columns = [F.col("x")[i] for i in range(len(FEATURES))]
     made = seen.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"),
