@@ -415,3 +415,16 @@ def test_only_what_is_read_of_an_event_is_moved(spark, monkeypatch):
     assert [w for w in written if "state_key" in w] == [wide]
     assert [w for w in written if "from_uuid" in w] == [wide]
     assert done.events.count() == len(log) and wide <= set(done.accepted.columns)
+
+
+def test_a_reader_waits_only_for_what_it_reads(spark, monkeypatch):
+    """The schema over time needs no typed writes, and typed state no validation; each runs once."""
+    made, typed, findings = [], R._typed, R._findings
+    monkeypatch.setattr(R, "_typed", lambda *a: made.append("writes") or typed(*a))
+    monkeypatch.setattr(R, "_findings", lambda *a: made.append("findings") or findings(*a))
+    log = random_log(6, 60)
+    done = R.replay(frame(spark, log + log[::3]), 7)
+    assert R.declared(done, 7).count() > 0 and made == []
+    assert R.state(done).count() > 0 and R.revalidations(done, 7).count() > 0 and made == ["writes"]
+    assert R.conflict_rows(done).count() > 0 and made == ["writes", "findings"]
+    assert done.events.count() == len(log) and done.accepted.count() > 0 and made == ["writes", "findings"]
