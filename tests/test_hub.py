@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from eventfold.operators import hub, index, snapshots
+from eventfold.operators import hub, index, loops, snapshots
 from eventfold.operators.loops import components, layers
 
 
@@ -100,6 +100,23 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in pairs)}
 
 
+def test_components_halve_their_nodes_in_each_round(spark, monkeypatch):
+    """A ring, a star with the greatest id in the middle, and a path whose ids jump about."""
+    sizes, hooked = [], loops._hooked
+
+    def counting(links):
+        sizes.append(links.select("a").distinct().count())
+        return hooked(links)
+
+    monkeypatch.setattr(loops, "_hooked", counting)
+    path = [(1000 + i * 37 % 101, 1000 + (i + 1) * 37 % 101) for i in range(100)]
+    pairs = [(i, (i + 1) % 40) for i in range(40)] + [(500, 100 + i) for i in range(30)] + path + [(7, 7), (900, 900), (1, 0)]
+    got = {r.id: r.cluster for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    want = {i: 0 for i in range(40)} | {i: 100 for i in (*range(100, 130), 500)} | {i: 1000 for i in range(1000, 1101)}
+    assert got == want
+    assert sizes[0] == len(want) and all(2 * after <= before for before, after in zip(sizes, sizes[1:]))
+
+
 def test_layers_leave_cycles_open(spark):
     rows = [("c", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "x")]
     got = {r.node: r.layer for r in layers(spark.createDataFrame(rows, "node string, needs string")).collect()}
