@@ -1,10 +1,13 @@
 """Passages: repeated rows, short pieces, near paragraphs."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventfold.llm import passages
+from eventfold.session import shared_folder
 from tests.llm.test_operators import prose
 
 
@@ -80,3 +83,37 @@ def test_near_paragraphs_are_found_whole(make):
     texts = [base + "\n" + prose(30, 1), prose(30, 2) + "\n" + edited(base, (30, 70))]
     want = [(0, 0, len(base), 100, 0, False), (1, texts[1].index("\n") + 1, len(texts[1]), 100, 0, True)]
     assert found(make, *texts) == want
+
+
+def test_lines_do_not_meet_in_half_a_key(make, monkeypatch):
+    docs = make(*[prose(40, i) for i in range(4)])
+    rows = passages.paragraphs(docs).withColumnRenamed("doc_id", "home")
+    # Equal upper halves, as millions of keys have them by chance; the lower ones differ.
+    keys = F.transform("bands", lambda key: key.bitwiseAND(0x7FFFFFFF) + F.lit(5 << 32))
+    asked, sets = [], passages.shingle_sets
+    monkeypatch.setattr(passages, "shingle_sets", lambda docs, wanted: asked.append(wanted.count()) or sets(docs, wanted))
+    assert passages._links(docs, rows.withColumn("bands", keys), (1, 3)).count() == 0
+    assert asked == [0]
+
+
+def test_what_is_read_does_not_stay(make, spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    shared = prose(60, 5)
+    assert passages.repeats(make(shared, shared + "\n" + prose(30, 1), prose(70, 2))).count() == 2
+    left = [p for p in set(folder.iterdir()) - before if "bands" in spark.read.parquet(str(p)).columns]
+    assert not left
+
+
+def test_texts_cut_together_are_cut_as_alone(make, monkeypatch):
+    r = random.Random(8)
+    lines = ["a b", "é à ü " * 9, "", " x ", "one\x0btwo\x1cthree four five six", prose(9, 3), prose(3, 4), prose(70, 5), "a " * 60]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(0, 6))) for _ in range(60)]
+
+    def rows():
+        found = passages.pieces_and_paragraphs(make(*texts)).collect()
+        return sorted((tuple(x if x is not None else () for x in r) for r in found), key=repr)
+
+    together = rows()
+    monkeypatch.setattr(passages._joined, "__defaults__", (1,))
+    assert rows() == together and together
