@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventfold import api
 from eventfold.operators import replay as R
-from eventfold.operators import schema_time
+from eventfold.operators import schema_time, validate
 
 COLUMNS = {
     "event_uuid": "string", "project_uuid": "string", "node_uuid": "string", "stream_seq": "bigint", "hlc_us": "bigint",
@@ -428,3 +428,12 @@ def test_a_reader_waits_only_for_what_it_reads(spark, monkeypatch):
     assert R.state(done).count() > 0 and R.revalidations(done, 7).count() > 0 and made == ["writes"]
     assert R.conflict_rows(done).count() > 0 and made == ["writes", "findings"]
     assert done.events.count() == len(log) and done.accepted.count() > 0 and made == ["writes", "findings"]
+
+
+def test_conflict_log_reads_its_findings_once(spark):
+    rows = spark.createDataFrame([("e1", ["b", "a"]), ("e2", [None])], "event_uuid string, fields array<string>")
+    kind = F.lit("unknown_field").alias("conflict_type")
+    log = validate.conflict_log(rows.select("event_uuid", F.lit("i").alias("entity_uuid"), kind, F.explode("fields").alias("field")))
+    assert "Generate" not in log._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.event_uuid, r.findings, r.found) for r in log.collect())
+    assert got == [("e1", 2, ["unknown_field:a", "unknown_field:b"]), ("e2", 1, ["unknown_field:-"])]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventfold.operators import skew
+from eventfold.operators.loops import counted
 
 
 @pytest.mark.parametrize("limit", [4, 25, 10_000])
@@ -77,3 +78,31 @@ def test_numbered_is_the_place_in_the_whole_order(spark, limit):
     assert [tuple(r)[:2] for r in got.orderBy("place").collect()] == want
     assert sorted(r.place for r in got.collect()) == list(range(1, 201))
     assert skew.numbered(df.limit(0), [F.col("id")], "place", 0, limit).count() == 0
+
+
+def test_known_rows_are_not_counted(spark):
+    df = spark.createDataFrame([("a", n) for n in range(20)], "k string, id bigint")
+    context = spark.sparkContext
+    context.setJobGroup("known-rows", "no job")
+    try:
+        few = skew.ordered(df, ["k"], [F.col("id")], {"place": skew.position()}, rows=20)
+        assert not context.statusTracker().getJobIdsForGroup("known-rows")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    many = skew.ordered(df, ["k"], [F.col("id")], {"place": skew.position()}, 5, rows=20)
+    for got in (few, many):
+        assert sorted((r.id, r.place) for r in got.collect()) == [(n, n + 1) for n in range(20)]
+
+
+def test_places_are_read_without_a_join(spark):
+    df = spark.createDataFrame([(n,) for n in range(50)], "id bigint")
+    got = skew.numbered(df, [F.col("id")], "place", 50, 10)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    df = spark.range(10).groupBy("id").count()
+    for rows, n in ((df, 10), (df.limit(0), 0), (df.where("1 = 0"), 0), (spark.createDataFrame([], "id bigint"), 0)):
+        out, seen = counted(rows)
+        assert (out.count(), seen) == (n, n)
+    assert counted(df, F.col("id") > 5)[1] == 4
